@@ -11,7 +11,7 @@ from corpusloom.schema import INDEX_FIELDS
 # Fixed value: documents per upload file.
 BATCH_SIZE = 4001
 
-BUCKET_DIGITS = 3
+BUCKET_DIGITS = 4
 
 
 def index_documents(articles: DataFrame, with_topics: bool = False) -> DataFrame:
