@@ -18,18 +18,20 @@ def request_clauses(
     requests: DataFrame, topic_terms: DataFrame, threshold: float = SEARCH_THRESHOLD
 ) -> DataFrame:
     """``(request_id, request, words, topics)``: the words of a request, and its topics in the
-    order word, raw before stem, rank. A topic is listed as often as it is matched.
+    order word, raw before stem, rank. A topic is listed as often as it is matched; a request
+    without a match has an empty list. ``request_id`` is unique.
 
-    One grouping by request; requests without a match keep an empty list.
+    Only matches move, and each request text moves once.
     """
-    matched = match_topics(
-        word_forms(requests), eligible_topics(topic_terms, threshold, fallback=True), "left"
+    matched = match_topics(word_forms(requests), eligible_topics(topic_terms, threshold, fallback=True))
+    listed = matched.groupBy("request_id").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "form", "rank", "topic"))).alias("c")
     )
-    clause = F.when(F.col("topic").isNotNull(), F.struct("pos", "form", "rank", "topic"))
-    return (
-        matched.groupBy("request_id", "request")
-        .agg(F.sort_array(F.collect_list(clause)).alias("c"))
-        .select("request_id", "request", words(F.col("request")).alias("words"), F.col("c.topic").alias("topics"))
+    return requests.join(listed, "request_id", "left").select(
+        "request_id",
+        "request",
+        words(F.col("request")).alias("words"),
+        F.coalesce(F.col("c.topic"), F.array().cast("array<string>")).alias("topics"),
     )
 
 

@@ -12,20 +12,18 @@ RAW, STEMMED = 0, 1
 
 
 def request_words(requests: DataFrame) -> DataFrame:
-    """``(request_id, request, pos, word)``: words in order. A request of no words keeps one
-    row with NULL word, so it can be reported."""
-    return requests.select(
-        "request_id", "request", F.posexplode_outer(words(F.col("request"))).alias("pos", "word")
-    )
+    """``(request_id, pos, word)``: words in order. The text itself stays behind: it is not
+    copied into the row of each word."""
+    return requests.select("request_id", F.posexplode(words(F.col("request"))).alias("pos", "word"))
 
 
 def word_forms(requests: DataFrame) -> DataFrame:
-    """``(request_id, request, pos, word, form, term)``: every word as it stands (form 0) and
+    """``(request_id, pos, word, form, term)``: every word as it stands (form 0) and
     as its stem (form 1). Equal forms are both kept."""
     forms = F.posexplode(F.array(F.col("word"), stem(F.col("word")))).alias("form", "term")
-    return request_words(requests).select("request_id", "request", "pos", "word", forms)
+    return request_words(requests).select("request_id", "pos", "word", forms)
 
 
-def match_topics(forms: DataFrame, topic_terms: DataFrame, how: str = "inner") -> DataFrame:
+def match_topics(forms: DataFrame, topic_terms: DataFrame) -> DataFrame:
     """Forms with the topic rows of their term; one row per match."""
-    return forms.join(topic_terms, "term", how)
+    return forms.join(topic_terms, "term")

@@ -68,6 +68,22 @@ def insert_if_absent(new: DataFrame, existing: DataFrame, key: Sequence[str] = K
     return keep_first(new, key).join(existing.select(*key), list(key), "left_anti")
 
 
+def replace(existing: DataFrame, fresh: DataFrame, key: str = "id", keep_columns: Sequence[str] = ()) -> DataFrame:
+    """``existing`` with the rows of ``fresh`` (one per key) added or put in place of theirs.
+
+    ``keep_columns`` lists columns a fresh row without them takes over from the stored row.
+    The table itself is only filtered: its wide rows move in a shuffle only when the fresh
+    keys are too many to broadcast.
+    """
+    added = fresh
+    if keep_columns:
+        stored = existing.select(key, *[F.col(c).alias(f"stored_{c}") for c in keep_columns])
+        added = fresh.join(stored, key, "left").select(*[
+            F.coalesce(c, f"stored_{c}").alias(c) if c in keep_columns else F.col(c) for c in fresh.columns
+        ])
+    return existing.join(fresh.select(key), key, "left_anti").unionByName(added)
+
+
 def upsert(
     existing: DataFrame,
     incoming: DataFrame,
@@ -75,18 +91,5 @@ def upsert(
     order_by: str = "last_update",
     keep_columns: Sequence[str] = (),
 ) -> DataFrame:
-    """Add or replace by key; the newest incoming version wins over the stored row.
-
-    ``keep_columns`` lists columns a new version without them takes over from the stored
-    row. The table itself is only filtered: its wide rows move in a shuffle only when the
-    incoming keys are too many to broadcast.
-    """
-    fresh = latest(incoming, key, order_by)
-    if keep_columns:
-        stored = existing.select(key, *[F.col(c).alias(f"stored_{c}") for c in keep_columns])
-        fresh = fresh.join(stored, key, "left").select(*[
-            F.coalesce(c, f"stored_{c}").alias(c) if c in keep_columns else F.col(c)
-            for c in incoming.columns
-        ])
-    untouched = existing.join(incoming.select(key), key, "left_anti")
-    return untouched.unionByName(fresh)
+    """Add or replace by key; the newest incoming version wins over the stored row."""
+    return replace(existing, latest(incoming, key, order_by), key, keep_columns)

@@ -27,7 +27,11 @@ QUERIES: dict[str, Query] = {}
 
 ARTICLE_TEXTS = ("id", "title", "authors", "abstract", "release_date", "article_type",
                  "fulltext", "file_url", "keywords", "last_update")
-LOW_THRESHOLD = 0.0001
+
+
+def mean_weight(terms: DataFrame) -> float:
+    """A threshold some topic rows pass and some do not."""
+    return terms.agg(F.avg("weight")).first()[0]
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -326,12 +330,14 @@ def f3_strong_topics(spark, sf):
 
 @query
 def f4_above_threshold(spark, sf):
-    return topics.eligible_topics(given.topic_terms(spark, sf), LOW_THRESHOLD, fallback=False)
+    terms = given.topic_terms(spark, sf)
+    return topics.eligible_topics(terms, mean_weight(terms), fallback=False)
 
 
 @query
 def a3_above_threshold_or_best(spark, sf):
-    return topics.eligible_topics(given.topic_terms(spark, sf), LOW_THRESHOLD, fallback=True)
+    terms = given.topic_terms(spark, sf)
+    return topics.eligible_topics(terms, mean_weight(terms), fallback=True)
 
 
 @query
@@ -387,7 +393,7 @@ def p9_numbers(spark, sf):
 
 @query
 def t1_words(spark, sf):
-    return lookup.request_words(given.turn_requests(spark, sf)).drop("request")
+    return lookup.request_words(given.turn_requests(spark, sf))
 
 
 @query
@@ -399,7 +405,7 @@ def t2_stems(spark, sf):
 
 @query
 def t3_word_forms(spark, sf):
-    return lookup.word_forms(given.turn_requests(spark, sf)).drop("request")
+    return lookup.word_forms(given.turn_requests(spark, sf))
 
 
 @query
@@ -582,7 +588,8 @@ def m6_counted_topic_terms(spark, sf):
 
 @query
 def g1_suggest(spark, sf):
-    return suggest.suggest(given.turn_requests(spark, sf), given.topic_terms(spark, sf), LOW_THRESHOLD)
+    terms = given.topic_terms(spark, sf)
+    return suggest.suggest(given.turn_requests(spark, sf), terms, mean_weight(terms))
 
 
 @query
@@ -592,7 +599,8 @@ def g1_suggest_fallback(spark, sf):
 
 @query
 def a9_suggestion_lists(spark, sf):
-    lists = suggest.suggestion_lists(given.turn_requests(spark, sf), given.topic_terms(spark, sf), LOW_THRESHOLD)
+    terms = given.topic_terms(spark, sf)
+    lists = suggest.suggestion_lists(given.turn_requests(spark, sf), terms, mean_weight(terms))
     return lists.select("request_id", F.col("found.suggestion").alias("suggestions"))
 
 
@@ -615,15 +623,15 @@ def a8_request_clauses(spark, sf):
 @query
 def q1_j6_topic_matches(spark, sf):
     index, terms = _index(spark, sf)
-    pairs, requests, bags = search.prepare(index, expand.request_clauses(given.term_requests(terms), terms))
-    return search.topic_matches(bags, requests)
+    prepared = search.PreparedSearch(index, expand.request_clauses(given.term_requests(terms), terms))
+    return prepared.per_request(prepared.by_topics())
 
 
 @query
 def q2_q3_word_matches(spark, sf):
     index, terms = _index(spark, sf)
-    pairs, requests, bags = search.prepare(index, expand.request_clauses(given.title_requests(spark, sf), terms))
-    return search.word_matches(pairs, requests, bags)
+    prepared = search.PreparedSearch(index, expand.request_clauses(given.title_requests(spark, sf), terms))
+    return prepared.per_request(prepared.by_words())
 
 
 @query

@@ -2,7 +2,8 @@
 
 A load replaces documents by id. Rewriting a 100 TB table for each load is out of
 question, so a load is one new folder, written under its own number: repeating it after a
-failure overwrites the same folder. ``compact_index`` folds all loads into a new table.
+failure overwrites the same folder. Load 0 is the base; ``compact_index`` folds all loads
+into the base of a new table.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.schema import ARTICLE, STRINGS
-from corpusloom.operators.store import latest
+from corpusloom.operators.store import latest, replace
 
 LOAD = "load"
 ROW = T.StructType([*ARTICLE.fields, T.StructField("topics", STRINGS)])
@@ -46,9 +47,13 @@ def resolve(rows: DataFrame, keep_columns: Sequence[str] = ()) -> DataFrame:
 
 
 def read_index(spark: SparkSession, path: str, keep_columns: Sequence[str] = ()) -> DataFrame:
-    return resolve(loads(spark, path), keep_columns)
+    """One row per id. The later loads are settled among themselves; the base is filtered by
+    their ids and not regrouped."""
+    rows = loads(spark, path)
+    base = rows.where(F.col(LOAD) == 0).drop(LOAD)
+    return replace(base, resolve(rows.where(F.col(LOAD) > 0), keep_columns), "id", keep_columns)
 
 
 def compact_index(spark: SparkSession, path: str, target: str, keep_columns: Sequence[str] = ()) -> None:
-    """All loads of ``path`` as the first load of a new table at ``target``."""
+    """All loads of ``path`` as the base of a new table at ``target``."""
     read_index(spark, path, keep_columns).write.mode("overwrite").parquet(f"{target.rstrip('/')}/{LOAD}=0")

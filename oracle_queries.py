@@ -311,12 +311,12 @@ ORACLE = {
         FROM ({ITEMS}) WHERE id IS NULL OR title IS NULL""",
     "f2_increment": sql(f"SELECT id, title, last_update FROM art WHERE last_update BETWEEN {WINDOW}", ["art"]),
     "f3_strong_topics": sql("SELECT * FROM dt WHERE proportion > 0.1", DOC_TOPICS),
-    "f4_above_threshold": sql("SELECT * FROM tt WHERE weight > 0.0001", TERMS),
-    "a3_above_threshold_or_best": sql("""SELECT * FROM tt WHERE weight > 0.0001 UNION ALL
+    "f4_above_threshold": sql("SELECT * FROM tt WHERE weight > (SELECT avg(weight) FROM tt)", TERMS),
+    "a3_above_threshold_or_best": sql("""SELECT * FROM tt WHERE weight > (SELECT avg(weight) FROM tt) UNION ALL
         SELECT topic, term, weight, rank FROM (
             SELECT *, max(weight) OVER (PARTITION BY term) AS most,
                    row_number() OVER (PARTITION BY term ORDER BY weight DESC, rank) AS place FROM tt)
-        WHERE most <= 0.0001 AND place = 1""", TERMS),
+        WHERE most <= (SELECT avg(weight) FROM tt) AND place = 1""", TERMS),
     "f6_optional_fields": sql("""SELECT id, file_url IS NOT NULL AS has_file_url, keywords IS NOT NULL AS has_keywords,
         fulltext IS NOT NULL AS has_fulltext FROM art""", ["art"]),
     "p1_p2_typed_items": """SELECT CAST(doc_id AS VARCHAR) AS id, text AS title, source AS authors,
@@ -376,14 +376,14 @@ ORACLE = {
     "m6_counted_topic_terms": sql("SELECT topic, term, weight, rank FROM tt", TERMS),
     "g1_suggest": sql("""SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY pos, form, rank) AS pos,
         topic, top_term AS term, topic || ' : ' || top_term AS suggestion
-        FROM match JOIN top USING (topic) WHERE weight > 0.0001""", [*MATCH, "top"], "turns"),
+        FROM match JOIN top USING (topic) WHERE weight > (SELECT avg(weight) FROM tt)""", [*MATCH, "top"], "turns"),
     "g1_suggest_fallback": sql("""SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY pos, form, rank) AS pos,
         topic, top_term AS term, topic || ' : ' || top_term AS suggestion
         FROM (SELECT *, max(weight) OVER (PARTITION BY request_id, pos, form) AS most,
                      row_number() OVER (PARTITION BY request_id, pos, form ORDER BY weight DESC, rank) AS place FROM match)
         JOIN top USING (topic) WHERE weight > 0.015 OR (most <= 0.015 AND place = 1)""", [*MATCH, "top"], "turns"),
     "a9_suggestion_lists": sql("""SELECT request_id, string_agg(topic || ' : ' || top_term, '|' ORDER BY pos, form, rank) AS suggestions
-        FROM match JOIN top USING (topic) WHERE weight > 0.0001 GROUP BY request_id""", [*MATCH, "top"], "turns"),
+        FROM match JOIN top USING (topic) WHERE weight > (SELECT avg(weight) FROM tt) GROUP BY request_id""", [*MATCH, "top"], "turns"),
     "g2_expand_turns": sql(f"SELECT request_id, len(words) AS n_words, {query_of('boosted')} FROM clause", CLAUSES, "turns"),
     "g2_expand_terms": sql(f"SELECT request_id, request, len(words) AS n_words, {query_of('boosted')} FROM clause", CLAUSES, "pairs"),
     "a8_request_clauses": sql("SELECT request_id, array_to_string(words, '|') AS words, array_to_string(topics, '|') AS topics FROM clause", CLAUSES, "turns"),
