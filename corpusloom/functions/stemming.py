@@ -10,7 +10,9 @@ and the whole stemmer runs in the JVM.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -157,8 +159,16 @@ def _steps(text: Column, r1: Column, r2: Column, steps: list[Callable[[_Word], C
     return _bind(first(_Word(text, r1, r2)), lambda t: _steps(t, r1, r2, rest))
 
 
-def stem(word: Column) -> Column:
-    """Stem of a word; words of one or two letters are their own stem."""
+def stem(column: str) -> Column:
+    """Stem of the words in a column; words of one or two letters are their own stem."""
+    return _stem(column, SparkContext._active_spark_context.applicationId)
+
+
+@lru_cache(maxsize=32)
+def _stem(column: str, application: str) -> Column:
+    """Building the expression takes a few thousand calls into the JVM, so it is kept for the
+    life of the application."""
+    word = F.col(column)
     heads = "|".join(REGION_HEADS)
     syllable = f".*?[{VOWELS}][^{VOWELS}]"
     irregular = F.create_map(*[F.lit(x) for pair in IRREGULAR.items() for x in pair])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.rendering import query_text
 from corpusloom.functions.text import words
-from corpusloom.operators.lookup import match_topics, word_forms
+from corpusloom.operators.lookup import match_topics
 from corpusloom.operators.topics import eligible_topics
 
 # Fixed value: weight a topic row must exceed to join the query.
@@ -23,7 +23,7 @@ def request_clauses(
 
     Only matches move, and each request text moves once.
     """
-    matched = match_topics(word_forms(requests), eligible_topics(topic_terms, threshold, fallback=True))
+    matched = match_topics(requests, eligible_topics(topic_terms, threshold, fallback=True))
     listed = matched.groupBy("request_id").agg(
         F.sort_array(F.collect_list(F.struct("pos", "form", "rank", "topic"))).alias("c")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import suggestion_text
-from corpusloom.operators.lookup import match_topics, word_forms
+from corpusloom.operators.lookup import match_topics
 from corpusloom.operators.topics import eligible_topics, top_term_of_topic
 
 # Fixed value: weight a topic row must exceed to suggest its topic.
@@ -31,7 +31,7 @@ def suggestion_lists(
         suggestion_text(F.col("topic"), F.col("top_term")).alias("suggestion"),
     )
     return (
-        match_topics(word_forms(requests), advice.select("term", "topic", "rank", "top_term"))
+        match_topics(requests, advice.select("term", "topic", "rank", "top_term"))
         .groupBy("request_id")
         .agg(F.sort_array(F.collect_list(item)).alias("found"))
     )

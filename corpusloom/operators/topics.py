@@ -76,7 +76,8 @@ def group_topic_terms(
 
     All counting is grouped on (group, term), so a group or a common word that owns a
     third of all rows is reduced within each input split before it moves. The counted
-    table is staged: three aggregates read it instead of the texts.
+    table is staged: the aggregates read it instead of the texts. A term has at most one row
+    per group by then, so its window is no larger than the number of groups.
     """
     counted = stage(
         texts.select(F.col(group).alias("topic"), F.explode(tokens(F.col(text))).alias("term"))
@@ -85,11 +86,12 @@ def group_topic_terms(
         "term-counts",
     )
     sizes = counted.groupBy("topic").agg(F.sum("n").alias("total"))
-    n_groups = counted.agg(F.countDistinct("topic").alias("g")).scalar()
-    rare = counted.groupBy("term").agg(F.count("*").alias("groups")).where(F.col("groups") * 2 <= n_groups)
+    n_groups = counted.select("topic").distinct().agg(F.count("*").alias("g")).scalar()
+    groups_of_term = F.count("*").over(Window.partitionBy("term"))
     place = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("n"), "term"))
     top = (
-        counted.join(rare.select("term"), "term", "left_semi")
+        counted.withColumn("groups", groups_of_term)
+        .where(F.col("groups") * 2 <= n_groups)
         .withColumn("place", place)
         .where(F.col("place") <= terms)
     )

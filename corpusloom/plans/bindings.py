@@ -13,7 +13,7 @@ from corpusloom.functions.text import request_text, topic_id
 from corpusloom.operators.documents import enrich
 from corpusloom.operators.increment import corpus_text
 from corpusloom.operators.topics import group_topic_terms, term_doc_topics, topic_bags
-from corpusloom.session import stage
+from corpusloom.session import spread, stage
 
 FIRST_UPDATE = 1528119650
 RUN_TS = 1530002937
@@ -23,11 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts or pages, which are heavy per row."""
+    return spread(table(spark, sf_dir, name))
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as articles. A text of one paragraph is an abstract without full text;
     otherwise the abstract is the first paragraph and the full text is the whole text."""
     one_paragraph = F.instr("text", "\n") == 0
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("id"),
         F.regexp_extract("text", r"^[^.\n]*", 0).alias("title"),
         F.array("source").alias("authors"),
@@ -55,10 +60,10 @@ def stored_articles(rows: DataFrame) -> DataFrame:
 
 def topic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counted topic terms of ``documents`` by source, staged as a small table."""
-    texts = table(spark, sf_dir, "documents").select(
+    by_source = texts(spark, sf_dir, "documents").select(
         topic_id(F.regexp_extract("source", r"(\d+)", 1)).alias("topic"), "text"
     )
-    return stage(group_topic_terms(texts, "topic"), "topic-terms")
+    return stage(group_topic_terms(by_source, "topic"), "topic-terms")
 
 
 def doc_topics(spark: SparkSession, sf_dir: str, terms: DataFrame) -> DataFrame:
@@ -82,7 +87,7 @@ def term_requests(terms: DataFrame) -> DataFrame:
 
 def turn_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation turn as a request."""
-    return table(spark, sf_dir, "conversations").select(
+    return texts(spark, sf_dir, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), F.lower("text").alias("request")
     )
 

@@ -98,7 +98,7 @@ def s4_ris_articles(spark, sf):
         F.lit("ER  - \n"),
     )
     path = staged_path(spark, "ris")
-    given.table(spark, sf, "documents").select(entry.alias("value")).write.text(path)
+    given.texts(spark, sf, "documents").select(entry.alias("value")).write.text(path)
     return ris.ris_articles(ris.read_ris(spark, path), given.RUN_TS).select(
         "id", "title", "authors", "abstract", "release_date", "article_type", "keywords", "last_update"
     )
@@ -236,45 +236,45 @@ PAGE_RULES = (
 
 @query
 def x2_x9_article_fields(spark, sf):
-    pages = given.table(spark, sf, "pages")
+    pages = given.texts(spark, sf, "pages")
     return extract.extract_articles(pages, given.RUN_TS, PAGE_RULES, "html").drop("id")
 
 
 @query
 def x1_identifiers(spark, sf):
     """Links with a fixed prefix removed."""
-    return given.table(spark, sf, "pages").select(
+    return given.texts(spark, sf, "pages").select(
         "page_id", text.strip_doi_prefix(F.col("url"), "https://").alias("id")
     )
 
 
 @query
 def x10_page_text(spark, sf):
-    return given.table(spark, sf, "pages").select("page_id", markup.html_to_text(F.col("html")).alias("text"))
+    return given.texts(spark, sf, "pages").select("page_id", markup.html_to_text(F.col("html")).alias("text"))
 
 
 @query
 def x12_clean_identifiers(spark, sf):
-    return given.table(spark, sf, "conversations").select(
+    return given.texts(spark, sf, "conversations").select(
         "conv_id", "turn", text.clean_identifier(F.concat_ws(" + ", "role", "text")).alias("id")
     )
 
 
 @query
 def x13_x15_item_links(spark, sf):
-    pages = given.table(spark, sf, "pages").select("page_id", "html")
+    pages = given.texts(spark, sf, "pages").select("page_id", "html")
     return extract.item_links(pages, "https://example.org", "nav ul", "li a", 2)
 
 
 @query
 def x14_next_page(spark, sf):
-    pages = given.table(spark, sf, "pages").select("page_id", "html")
+    pages = given.texts(spark, sf, "pages").select("page_id", "html")
     return extract.next_page(pages, "https://example.org", "nav li a")
 
 
 @query
 def x16_contents_rows(spark, sf):
-    pages = given.table(spark, sf, "pages").select("page_id", "html")
+    pages = given.texts(spark, sf, "pages").select("page_id", "html")
     rules = (
         markup.Rule("title", "li a", "own"),
         markup.Rule("author", "ul li", "text"),
@@ -285,7 +285,7 @@ def x16_contents_rows(spark, sf):
 
 @query
 def x17_links_ending(spark, sf):
-    pages = given.table(spark, sf, "pages").select("page_id", "html")
+    pages = given.texts(spark, sf, "pages").select("page_id", "html")
     return extract.links_ending(pages, 'a[href$="."]')
 
 
@@ -295,7 +295,7 @@ def x17_links_ending(spark, sf):
 def _items(spark, sf) -> DataFrame:
     """Items that may lack an id (document not labelled) or a title (empty first sentence)."""
     labels = given.table(spark, sf, "labels").select("doc_id", F.col("doc_id").cast("string").alias("id"))
-    return given.table(spark, sf, "documents").join(labels, "doc_id", "left").select(
+    return given.texts(spark, sf, "documents").join(labels, "doc_id", "left").select(
         "doc_id", "id",
         F.nullif(F.regexp_extract("text", r"^[^.\n]*", 0), F.lit("")).alias("title"),
     )
@@ -352,7 +352,7 @@ def f6_optional_fields(spark, sf):
 
 @query
 def p1_p2_typed_items(spark, sf):
-    items = given.table(spark, sf, "documents").select(
+    items = given.texts(spark, sf, "documents").select(
         F.col("doc_id").alias("id"), F.col("text").alias("title"), F.array("source").alias("authors"),
         F.col("n_chars").alias("release_date"), F.col("doc_id").cast("string").alias("last_update"),
     )
@@ -399,18 +399,18 @@ def t1_words(spark, sf):
 @query
 def t2_stems(spark, sf):
     """Stem of every distinct word of the documents."""
-    words = given.table(spark, sf, "documents").select(F.explode(text.tokens(F.col("text"))).alias("word")).distinct()
-    return words.withColumn("stem", stem(F.col("word")))
+    words = given.texts(spark, sf, "documents").select(F.explode(text.tokens(F.col("text"))).alias("word")).distinct()
+    return words.withColumn("stem", stem("word"))
 
 
 @query
 def t3_word_forms(spark, sf):
-    return lookup.word_forms(given.turn_requests(spark, sf))
+    return lookup.word_forms(lookup.request_words(given.turn_requests(spark, sf)))
 
 
 @query
 def t4_topic_ids(spark, sf):
-    return given.table(spark, sf, "documents").select(
+    return given.texts(spark, sf, "documents").select(
         "doc_id", text.topic_id(F.regexp_extract("source", r"(\d+)", 1)).alias("topic"), text.topic_id(F.col("doc_id")).alias("padded")
     )
 
@@ -446,8 +446,7 @@ def j1_enriched_left(spark, sf):
 
 @query
 def j2_term_lookup(spark, sf):
-    forms = lookup.word_forms(given.turn_requests(spark, sf))
-    return lookup.match_topics(forms, given.topic_terms(spark, sf)).select(
+    return lookup.match_topics(given.turn_requests(spark, sf), given.topic_terms(spark, sf)).select(
         "request_id", "pos", "form", "word", "term", "topic", "weight"
     )
 
@@ -540,8 +539,7 @@ def o1_union(spark, sf):
 @query
 def o2_topic_multiset(spark, sf):
     """How often each topic is matched by the raw and stemmed words of a request."""
-    forms = lookup.word_forms(given.turn_requests(spark, sf))
-    return lookup.match_topics(forms, given.topic_terms(spark, sf)).groupBy("request_id", "topic").agg(F.count("*").alias("n"))
+    return lookup.match_topics(given.turn_requests(spark, sf), given.topic_terms(spark, sf)).groupBy("request_id", "topic").agg(F.count("*").alias("n"))
 
 
 # --- topic modelling ---------------------------------------------------------------------

@@ -58,3 +58,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = staged_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table read from files, dealt out evenly when it has fewer splits than there are cores.
+
+    For work that is heavy per row (tokenising, parsing). A large table has splits enough
+    and is left as it is.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table

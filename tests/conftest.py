@@ -1,0 +1,21 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from corpusloom.session import build_session  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = build_session("tests", "local[8]", **{
+        "spark.ui.enabled": "false",
+        "spark.sql.shuffle.partitions": "8",
+        "spark.driver.memory": "8g",
+        "spark.ui.showConsoleProgress": "false",
+    })
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
