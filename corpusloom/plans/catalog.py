@@ -248,6 +248,12 @@ def x1_identifiers(spark, sf):
     )
 
 
+@query
+def x5_release_years(spark, sf):
+    """First four digits in a row of every text."""
+    return given.texts(spark, sf, "documents").select("doc_id", text.release_year(F.col("text")).alias("year"))
+
+
 @query
 def x10_page_text(spark, sf):
     return given.texts(spark, sf, "pages").select("page_id", markup.html_to_text(F.col("html")).alias("text"))
@@ -350,6 +356,11 @@ def f6_optional_fields(spark, sf):
     ])
 
 
+@query
+def p10_document_json(spark, sf):
+    return documents.document_json(documents.index_documents(given.articles(spark, sf)))
+
+
 @query
 def p1_p2_typed_items(spark, sf):
     items = given.texts(spark, sf, "documents").select(
@@ -551,6 +562,12 @@ def m1_word_lists(spark, sf):
     return bags.select("docname", F.size("words").alias("n_words"), "words")
 
 
+@query
+def m1_vocabulary(spark, sf):
+    bags = modelling.word_lists(increment.corpus_text(given.articles(spark, sf)))
+    return modelling.vocabulary(bags, 1 << 16)
+
+
 def _model(spark, sf):
     bags = stage(modelling.word_lists(increment.corpus_text(given.articles(spark, sf))), "bags")
     return modelling.fit_topics(bags, version="1", iterations=5), bags

@@ -16,6 +16,8 @@ def build_session(app: str = "corpusloom", master: str | None = None, **conf: st
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # a row of a Python batch can be a whole page of a megabyte
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
         **conf,
     }
     builder = SparkSession.builder.appName(app)

@@ -297,6 +297,7 @@ ORACLE = {
         {plain("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)")} AS fulltext,
         {decoded(f"({HREFS})[1]")} AS file_url,
         {LABEL_TEXT} AS keywords, 1530002937 AS last_update FROM pages""",
+    "x5_release_years": r"SELECT doc_id, CAST(nullif(regexp_extract(text, '(\d{4})', 1), '') AS BIGINT) AS year FROM documents",
     "x10_page_text": f"SELECT page_id, {plain('html')} AS text FROM pages",
     "x12_clean_identifiers": r"""SELECT conv_id, turn, regexp_replace(role || ' + ' || text, '[\s+]', '', 'g') AS id FROM conversations""",
     "x13_x15_item_links": f"""SELECT page_id, {decoded(f"({HREFS})[2]")} AS path,
@@ -319,6 +320,10 @@ ORACLE = {
         WHERE most <= (SELECT avg(weight) FROM tt) AND place = 1""", TERMS),
     "f6_optional_fields": sql("""SELECT id, file_url IS NOT NULL AS has_file_url, keywords IS NOT NULL AS has_keywords,
         fulltext IS NOT NULL AS has_fulltext FROM art""", ["art"]),
+    "p10_document_json": sql("""SELECT CAST(json_merge_patch('{}'::JSON, to_json({'id': id, 'type': 'add', 'fields': {
+            'title': title, 'authors': authors, 'abstract': abstract, 'release_date': release_date,
+            'article_type': article_type, 'file_url': file_url, 'keywords': keywords, 'fulltext': fulltext,
+            'last_update': last_update}})) AS VARCHAR) AS json FROM art""", ["art"]),
     "p1_p2_typed_items": """SELECT CAST(doc_id AS VARCHAR) AS id, text AS title, source AS authors,
         NULL::VARCHAR AS abstract, CAST(n_chars AS VARCHAR) AS release_date, NULL::VARCHAR AS article_type,
         NULL::VARCHAR AS fulltext, NULL::VARCHAR AS file_url, NULL::VARCHAR AS keywords, doc_id AS last_update FROM documents""",
@@ -366,6 +371,11 @@ ORACLE = {
     "o1_union": sql("""SELECT id, abstract, last_update FROM art UNION ALL
         SELECT id, abstract, last_update FROM copies""", ["art", "copies"]),
     "o2_topic_multiset": sql("SELECT request_id, topic, count(*) AS n FROM match GROUP BY ALL", MATCH, "turns"),
+    "m1_vocabulary": r"""SELECT word, count(*) AS df FROM (
+            SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS word
+            FROM documents)
+        GROUP BY word HAVING count(*) >= 2 AND count(*) <= 0.5 * (SELECT count(*) FROM documents)
+        ORDER BY df DESC, word LIMIT 65536""",
     "m1_word_lists": r"""SELECT docname, len(w) AS n_words, array_to_string(w, '|') AS words FROM (
         SELECT CAST(doc_id AS VARCHAR) AS docname,
                list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents)""",
