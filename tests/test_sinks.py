@@ -10,6 +10,7 @@ from corpusloom.operators.topics import (
     best_topic_of_term, distinct_terms, eligible_topics, strong_topics, topic_bags, top_term_of_topic,
 )
 from corpusloom.operators.documents import enrich
+from corpusloom.operators.store import typed_items
 from corpusloom.session import staged_path
 from corpusloom.sources import readers, writers
 from tests.test_store import article, articles
@@ -20,8 +21,8 @@ def local(path):
 
 
 def docs(spark, n):
-    base = articles(spark, article("0"))
-    return spark.range(0, n, 1, 1).select(F.col("id").cast("string").alias("id"), F.lit(1).alias("x")).crossJoin(base.drop("id")).drop("x")
+    return typed_items(spark.range(0, n, 1, 1).select(
+        F.col("id").cast("string").alias("id"), F.lit("t").alias("title"), F.lit(1).alias("last_update")))
 
 
 def test_batches_hold_4001_documents(spark):
