@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DAY_COLUMN = "update_day"
 
 
+def day_of(ts: Column) -> Column:
+    """UTC day of epoch seconds, whatever the session time zone."""
+    return F.date_from_unix_date(F.floor(ts / 86_400).cast("int"))
+
+
 def with_update_day(articles: DataFrame) -> DataFrame:
-    """The partition column of the article table: UTC day of ``last_update``."""
-    day = F.to_date(F.timestamp_seconds(F.col("last_update").cast("bigint")))
-    return articles.withColumn(DAY_COLUMN, day)
+    """Articles with the partition column of their table: the day of ``last_update``."""
+    return articles.withColumn(DAY_COLUMN, day_of(F.col("last_update")))
 
 
 def increment(articles: DataFrame, mark: int, now: int) -> DataFrame:
@@ -22,8 +26,7 @@ def increment(articles: DataFrame, mark: int, now: int) -> DataFrame:
     """
     rows = articles.where(F.col("last_update").between(mark, now))
     if DAY_COLUMN in articles.columns:
-        first, last = (F.to_date(F.timestamp_seconds(F.lit(ts))) for ts in (mark, now))
-        rows = rows.where(F.col(DAY_COLUMN).between(first, last))
+        rows = rows.where(F.col(DAY_COLUMN).between(day_of(F.lit(mark)), day_of(F.lit(now))))
     return rows
 
 

@@ -42,7 +42,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """A page table, or a folder of HTML files when ``path`` does not hold Parquet."""
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.schema(schema.PAGE).parquet(path)
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(
         F.xxhash64("_metadata.file_path").alias("page_id"),
         F.col("_metadata.file_path").alias("url"),
