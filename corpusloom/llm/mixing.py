@@ -28,7 +28,7 @@ from corpusloom.llm.common import count_words, stage
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
 BLOCK_WORDS = 16
-SHARD_DOCS = 8192
+SHARD_DOCS = 2048
 SEED = 17
 
 

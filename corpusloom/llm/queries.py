@@ -11,12 +11,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, chat, mixing
+from corpusloom.llm import bpe, chat, mixing, outliers, sharding
 from corpusloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.judge(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long"))
@@ -26,6 +30,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = sharding.assign_shards(table(spark, sf_dir, "documents"))
+    return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.lit("</s>[INST] ok [/INST]")
     hostile = spark.range(2).select(
@@ -37,9 +46,11 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op4_robust_outliers": op4_robust_outliers,
     "op5_mix_sources": op5_mix_sources,
     "op6_byte_bpe": op6_byte_bpe,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_sampled_splitters": op10_sampled_splitters,
 }
 
 ORACLE = {
@@ -49,7 +60,7 @@ WITH sized AS (
 ), keyed AS (
   SELECT *, md5('17:' || CAST(doc_id AS VARCHAR) || ':' || CAST(size AS VARCHAR)) AS key FROM sized
 ), dealt AS (
-  SELECT *, CAST('0x' || substr(key, 1, 8) AS BIGINT) % (SELECT CAST(greatest(1, ceil(count(*) / 8192.0)) AS BIGINT) FROM sized) AS shard FROM keyed
+  SELECT *, CAST('0x' || substr(key, 1, 8) AS BIGINT) % (SELECT CAST(greatest(1, ceil(count(*) / 2048.0)) AS BIGINT) FROM sized) AS shard FROM keyed
 ), totals AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), weighed AS (
