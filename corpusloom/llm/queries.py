@@ -11,12 +11,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, chat, mixing, outliers, sharding
+from corpusloom.llm import bpe, chat, mixing, neighbours, outliers, sharding, simhash
 from corpusloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return neighbours.nearest(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(table(spark, sf_dir, "documents"))
 
@@ -46,6 +56,8 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_simhash_trie": op2_simhash_trie,
+    "op3_cross_polytope": op3_cross_polytope,
     "op4_robust_outliers": op4_robust_outliers,
     "op5_mix_sources": op5_mix_sources,
     "op6_byte_bpe": op6_byte_bpe,
