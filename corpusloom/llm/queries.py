@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, chat, mixing, neighbours, outliers, sharding, simhash, toxicity
+from corpusloom.llm import bpe, chat, lines, mixing, neighbours, outliers, sharding, simhash, toxicity
 from corpusloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_exact", "n_near", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.assign_shards(table(spark, sf_dir, "documents"))
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -66,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op4_robust_outliers": op4_robust_outliers,
     "op5_mix_sources": op5_mix_sources,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_line_dedup": op8_line_dedup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_sampled_splitters": op10_sampled_splitters,
 }
@@ -107,6 +113,32 @@ WITH sized AS (
 SELECT d.doc_id, d.size, p.source_size, p.target,
   CASE WHEN n = 0 THEN 0 ELSE quota // n * size + least(e, quota % n * 16) - least(e - size, quota % n * 16) END AS taken
 FROM placed d JOIN plan p ON d.shard = p.shard AND d.source IS NOT DISTINCT FROM p.source
+""",
+    "op8_line_dedup": r"""
+WITH split AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i FROM documents
+), said AS (
+  SELECT doc_id, i, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM split
+), counted AS (
+  SELECT *, len(w) AS n, array_to_string(w, ' ') AS words, {'d': doc_id, 'i': i} AS pos FROM said
+), distinct_lines AS (
+  SELECT words, any_value(w) AS w, any_value(n) AS n, min(pos) AS pos FROM counted WHERE n >= 3 GROUP BY words
+), variants AS (
+  SELECT pos, p, md5(array_to_string(w[:p], ' ') || ' ' || array_to_string(w[p + 2:], ' ')) AS key, n - 1 AS left_words
+  FROM (SELECT *, unnest(range(n)) AS p FROM distinct_lines WHERE n >= 8)
+), whole AS (
+  SELECT pos, unnest([md5(array_to_string(w[:p], ' ') || ' ' || array_to_string(w[p + 1:], ' ')) for p in range(n + 1)]) AS key, unnest(range(n + 1)) AS p, n FROM distinct_lines WHERE n >= 8
+), near AS (
+  SELECT DISTINCT v.pos FROM variants v JOIN (SELECT key, p, min(pos) AS first FROM variants GROUP BY ALL) f ON v.key = f.key AND v.p = f.p WHERE f.first < v.pos
+  UNION SELECT v.pos FROM variants v JOIN whole w ON v.key = w.key AND v.p = w.p AND v.left_words = w.n WHERE w.pos < v.pos
+  UNION SELECT w.pos FROM variants v JOIN whole w ON v.key = w.key AND v.p = w.p AND v.left_words = w.n WHERE v.pos < w.pos
+), judged AS (
+  SELECT c.*, d.pos IS NOT NULL AND d.pos <> c.pos AS exact, d.pos = c.pos AND x.pos IS NOT NULL AS near
+  FROM counted c LEFT JOIN distinct_lines d ON c.words = d.words AND c.n >= 3 LEFT JOIN near x ON c.pos = x.pos
+)
+SELECT j.doc_id, count(*) FILTER (WHERE n > 0) AS n_lines, count(*) FILTER (WHERE exact) AS n_exact, count(*) FILTER (WHERE near) AS n_near,
+  CASE WHEN any_value(t.text) IS NULL THEN NULL ELSE md5(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT coalesce(exact, FALSE) AND NOT coalesce(near, FALSE)), '')) END AS text_md5
+FROM judged j JOIN (SELECT doc_id, any_value(text) AS text FROM documents GROUP BY ALL) t ON j.doc_id = t.doc_id GROUP BY j.doc_id
 """,
     "op9_chat_formatting": r"""
 WITH said AS (
