@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, chat, lines, mixing, neighbours, outliers, sharding, simhash, toxicity
+from corpusloom.llm import bpe, chat, licenses, lines, mixing, neighbours, outliers, sharding, simhash, toxicity
 from corpusloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_exact", "n_near", F.md5(F.col("text").cast("binary")).alias("text_md5"))
@@ -71,11 +75,18 @@ QUERIES: dict[str, Query] = {
     "op4_robust_outliers": op4_robust_outliers,
     "op5_mix_sources": op5_mix_sources,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_license_scan": op7_license_scan,
     "op8_line_dedup": op8_line_dedup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_sampled_splitters": op10_sampled_splitters,
 }
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_TEMPLATE_ROWS = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in licenses.TEMPLATES.items())
+
 ORACLE = {
     "op5_mix_sources": """
 WITH sized AS (
@@ -113,6 +124,31 @@ WITH sized AS (
 SELECT d.doc_id, d.size, p.source_size, p.target,
   CASE WHEN n = 0 THEN 0 ELSE quota // n * size + least(e, quota % n * 16) - least(e - size, quota % n * 16) END AS taken
 FROM placed d JOIN plan p ON d.shard = p.shard AND d.source IS NOT DISTINCT FROM p.source
+""",
+    "op7_license_scan": rf"""
+WITH given AS (
+  SELECT 't' AS kind, license AS id, -1 AS doc_id, text FROM (VALUES {_TEMPLATE_ROWS}) v(license, text)
+  UNION ALL SELECT 'd', NULL, doc_id, coalesce(text, '') FROM documents
+), said AS (
+  SELECT kind, id, doc_id, list_filter(list_transform(regexp_extract_all(text, '[^\x20\x09-\x0D]+'),
+    lambda x: trim(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_quoted(licenses.EDGES)})), lambda x: x <> '') AS w FROM given
+), shingled AS (
+  SELECT id, least(5, len(w)) AS width, unnest([array_to_string(w[p:p + least(5, len(w)) - 1], ' ') for p in range(1, len(w) - least(5, len(w)) + 2)]) AS shingle FROM said WHERE kind = 't'
+), template AS (
+  SELECT DISTINCT * FROM shingled
+), sized AS (
+  SELECT id, count(*) AS n, CAST(ceil(1.25 * count(*)) AS BIGINT) AS span FROM template GROUP BY id
+), pieces AS (
+  SELECT doc_id, s.width, unnest(range(1, len(w) - s.width + 2)) AS p, unnest([array_to_string(w[p:p + s.width - 1], ' ') for p in range(1, len(w) - s.width + 2)]) AS shingle
+  FROM said, (SELECT DISTINCT width FROM template) s WHERE kind = 'd'
+), hits AS (
+  SELECT doc_id, t.id, t.width, p, d.shingle FROM pieces d JOIN template t ON d.shingle = t.shingle AND d.width = t.width
+), held AS (
+  SELECT a.doc_id, a.id, a.p, max(b.p) + any_value(a.width) - a.p AS n_words, count(DISTINCT b.shingle) / any_value(s.n) AS containment
+  FROM hits a JOIN sized s ON a.id = s.id JOIN hits b ON a.doc_id = b.doc_id AND a.id = b.id AND b.p >= a.p AND b.p < a.p + s.span GROUP BY a.doc_id, a.id, a.p
+)
+SELECT doc_id, id AS license, p - 1 AS first_word, n_words, containment FROM held WHERE containment >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, id ORDER BY containment DESC, p) = 1
 """,
     "op8_line_dedup": r"""
 WITH split AS (
