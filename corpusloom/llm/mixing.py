@@ -140,6 +140,6 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     head = F.when(part == size, text).otherwise(F.array_join(F.slice(words, F.lit(1), part), ""))
     none = F.array().cast("array<string>")
     copies = F.concat(F.array_repeat(text, F.col("passes").cast("int")), F.when(part > 0, F.array(head)).otherwise(none))
-    out = mix_sources(docs, carry=docs.columns, **options).select("carried", F.explode(copies).alias("text"))
+    out = mix_sources(docs, carry=docs.columns, **options).where("size > 0").select("carried", F.explode(copies).alias("text"))
     changed = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
     return out.select(*(changed.get(c, F.col(f"carried.{c}")).alias(c) for c in docs.columns))

@@ -106,7 +106,8 @@ def assign_shards(
     ).join(offsets, "range")
     own = F.col("bytes_before") + F.col("bytes_in")
     begins = F.when(F.col("heavy") | F.col("last_key").isNull() | (F.col("last_key") != F.col("key")), own)
-    shard = F.least(F.floor(F.max(begins).over(upto) * shards / F.lit(total)), F.lit(shards - 1)).cast("int")
+    so_far = Window.partitionBy("range").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # n has no ties
+    shard = F.least(F.floor(F.max(begins).over(so_far) * shards / F.lit(total)), F.lit(shards - 1)).cast("int")
     cut = stage(placed.select(
         "doc_id", "size", "text_crc32", shard.alias("shard"), (F.col("rows_before") + F.col("n") - 1).alias("at"),
     ), "shards")

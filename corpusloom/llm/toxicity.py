@@ -105,7 +105,7 @@ class LabelModel:
         """Maximum spanning tree of the mutual information of voters given the label. weight: (pattern, label)."""
         m = self.voters
         gain = np.zeros((m, m))
-        total = weight.sum()
+        total = max(weight.sum(), 1e-9)
         for y in range(2):
             w = weight[:, y]
             for a in range(m):
@@ -256,7 +256,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     m = len(KINDS) * FOLDS
     place = {v: i for i, v in enumerate(patterns["votes"])}
     labelled = np.zeros((len(patterns), 2))
-    np.add.at(labelled, ([place[v] for v in of_sample["votes"]], of_sample["toxic"].to_numpy(np.int64)), 1)
+    np.add.at(labelled, (np.array([place[v] for v in of_sample["votes"]], np.int64), of_sample["toxic"].to_numpy().astype(np.int64)), 1)
 
     def bits(votes: np.ndarray) -> np.ndarray:
         return (votes.astype(np.int64)[:, None] >> np.arange(m)) & 1
