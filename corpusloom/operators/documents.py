@@ -73,8 +73,8 @@ def document_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
 
 
-def batch_numbers(docs: DataFrame, key: str = "id", size: int = BATCH_SIZE) -> DataFrame:
-    """``docs`` with a batch number; every batch but the last has exactly ``size`` rows.
+def positions(docs: DataFrame, key: str, name: str) -> DataFrame:
+    """``docs`` with a gapless number from 0 in column ``name``.
 
     ``key`` must be unique. Rows are numbered in the order of (hash of key, key). The
     leading hash digits cut that order into a fixed number of even buckets, so numbering
@@ -89,11 +89,13 @@ def batch_numbers(docs: DataFrame, key: str = "id", size: int = BATCH_SIZE) -> D
     starts = counts.select("_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     within = Window.partitionBy("_bucket").orderBy("_digest", key)
     position = F.col("_start") + F.row_number().over(within) - 1
-    return (
-        placed.join(F.broadcast(starts), "_bucket")
-        .withColumn("batch", F.floor(position / size).cast("bigint"))
-        .select(*docs.columns, "batch")
-    )
+    return placed.join(F.broadcast(starts), "_bucket").select(*docs.columns, position.cast("bigint").alias(name))
+
+
+def batch_numbers(docs: DataFrame, key: str = "id", size: int = BATCH_SIZE) -> DataFrame:
+    """``docs`` with a batch number; every batch but the last has exactly ``size`` rows (see ``positions``)."""
+    placed = positions(docs, key, "batch")
+    return placed.withColumn("batch", F.floor(F.col("batch") / size).cast("bigint"))
 
 
 def batch_counts(numbered: DataFrame) -> DataFrame:

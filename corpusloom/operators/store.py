@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.schema import ARTICLE
+from corpusloom.session import stage
 
 KEY = ("id", "title")
 
@@ -40,32 +42,52 @@ def _others(df: DataFrame, *named: str) -> list[str]:
     return [c for c in df.columns if c not in named]
 
 
+def _on(rows: DataFrame, other: DataFrame, key: Sequence[str]) -> Column:
+    """Equality of the key columns, null with null."""
+    parts = [rows[c].eqNullSafe(other[f"_{c}"]) for c in key]
+    return reduce(lambda a, b: a & b, parts)
+
+
+def _one_per_key(items: DataFrame, key: Sequence[str], order_by: str, newest: bool) -> DataFrame:
+    """The winning row of every key, by ``order_by`` and then by content.
+
+    Keys are counted first, on the key and the stamp alone (numbers and hash aggregation).
+    Most keys have one row: these rows pass as they are, filtered by the contested keys.
+    Of a contested key only the rows at the winning stamp are compared by content.
+    """
+    pick = F.max if newest else F.min
+    # a missing stamp comes before all others
+    stamp = pick(order_by) if newest else F.when(F.count("*") == F.count(order_by), F.min(order_by))
+    contested = items.groupBy(*key).agg(F.count("*").alias("_n"), stamp.alias("_stamp")).where("_n > 1")
+    contested = contested.select(*[F.col(c).alias(f"_{c}") for c in key], "_stamp")
+    single = items.join(contested, _on(items, contested, key), "left_anti")
+    at_stamp = items.join(contested, _on(items, contested, key) & items[order_by].eqNullSafe(contested["_stamp"]), "left_semi")
+    best = at_stamp.groupBy(*key).agg(pick(F.struct(order_by, *_others(items, *key, order_by))).alias("best"))
+    return single.unionByName(best.select(*[F.col(c) if c in key else F.col(f"best.{c}") for c in items.columns]))
+
+
 def keep_first(items: DataFrame, key: Sequence[str] = KEY, order_by: str = "last_update") -> DataFrame:
     """The first row of every key by ``order_by``; equal stamps are settled by the row's content.
 
-    A grouped minimum and not a window: each input split already reduces a key to one
-    row, so a key that owns a third of the table sends one row per split, not a third
-    of the table, to one task.
+    Grouped and not a window: each input split already reduces a key to one row, so a key
+    that owns a third of the table sends one row per split, not a third of the table, to
+    one task.
     """
-    row = F.struct(order_by, *_others(items, *key, order_by))
-    first = items.groupBy(*key).agg(F.min(row).alias("first"))
-    return first.select(*[F.col(c) if c in key else F.col(f"first.{c}") for c in items.columns])
+    return _one_per_key(items, key, order_by, newest=False)
 
 
 def latest(items: DataFrame, key: str = "id", order_by: str = "last_update") -> DataFrame:
-    """The newest row of every key, as a grouped maximum (see ``keep_first``)."""
-    row = F.struct(order_by, *_others(items, key, order_by))
-    last = items.groupBy(key).agg(F.max(row).alias("last"))
-    return last.select(*[F.col(c) if c == key else F.col(f"last.{c}") for c in items.columns])
+    """The newest row of every key (see ``keep_first``)."""
+    return _one_per_key(items, [key], order_by, newest=True)
 
 
 def insert_if_absent(new: DataFrame, existing: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Rows of ``new`` to append: first of each key, and only keys the table does not hold.
 
-    Only the key columns of the table are read. The minimum and the anti join share one
-    partitioning of ``new``.
+    Only the key columns of the table are read, and rows it holds already are left out
+    before the first of each key is looked for.
     """
-    return keep_first(new, key).join(existing.select(*key), list(key), "left_anti")
+    return keep_first(new.join(existing.select(*key), list(key), "left_anti"), key)
 
 
 def replace(existing: DataFrame, fresh: DataFrame, key: str = "id", keep_columns: Sequence[str] = ()) -> DataFrame:
@@ -91,5 +113,8 @@ def upsert(
     order_by: str = "last_update",
     keep_columns: Sequence[str] = (),
 ) -> DataFrame:
-    """Add or replace by key; the newest incoming version wins over the stored row."""
-    return replace(existing, latest(incoming, key, order_by), key, keep_columns)
+    """Add or replace by key; the newest incoming version wins over the stored row.
+
+    The fresh rows are staged, since they filter the table and are added to it.
+    """
+    return replace(existing, stage(latest(incoming, key, order_by), "fresh"), key, keep_columns)

@@ -24,8 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of texts or pages, which are heavy per row."""
-    return spread(table(spark, sf_dir, name))
+    """A table of texts or pages, which are heavy per row.
+
+    Its splits are those of its files, unless the session names a number of them in
+    ``spark.corpusloom.textSplits`` (a table of one small file is one split else).
+    """
+    splits = spark.conf.get("spark.corpusloom.textSplits", None)
+    return spread(table(spark, sf_dir, name), int(splits)) if splits else table(spark, sf_dir, name)
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:

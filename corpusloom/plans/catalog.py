@@ -565,24 +565,39 @@ def m1_word_lists(spark, sf):
 @query
 def m1_vocabulary(spark, sf):
     bags = modelling.word_lists(increment.corpus_text(given.articles(spark, sf)))
-    return modelling.vocabulary(bags, 1 << 16)
+    return modelling.vocabulary(bags)
 
 
 def _model(spark, sf):
     bags = stage(modelling.word_lists(increment.corpus_text(given.articles(spark, sf))), "bags")
-    return modelling.fit_topics(bags, version="1", iterations=5), bags
+    return modelling.fit_topics(bags, version="1", iterations=2)
 
 
 @query
 def m2_m3_model_topic_terms(spark, sf):
-    model, _ = _model(spark, sf)
-    return modelling.model_topic_terms(model).withColumn("weight", F.round("weight", 6))
+    return modelling.model_topic_terms(_model(spark, sf)).withColumn("weight", F.round("weight", 6))
+
+
+@query
+def m2_m3_topic_sizes(spark, sf):
+    """What holds for any fit: ten ranked terms per topic, none of them said twice."""
+    terms = modelling.model_topic_terms(_model(spark, sf))
+    return terms.groupBy("topic", "model_version").agg(
+        F.count("*").alias("n_terms"), F.count_distinct("term").alias("n_distinct"),
+        F.min("rank").alias("first_rank"), F.max("rank").alias("last_rank"),
+    )
 
 
 @query
 def m4_model_doc_topics(spark, sf):
-    model, bags = _model(spark, sf)
-    return modelling.model_doc_topics(model, bags).withColumn("proportion", F.round("proportion", 6))
+    return modelling.model_doc_topics(_model(spark, sf)).withColumn("proportion", F.round("proportion", 6))
+
+
+@query
+def m4_doc_topic_sums(spark, sf):
+    """What holds for any fit: every document with a vocabulary word has 25 shares that sum to one."""
+    shares = modelling.model_doc_topics(_model(spark, sf))
+    return shares.groupBy("docname").agg(F.count("*").alias("n_topics"), F.round(F.sum("proportion"), 6).alias("total"))
 
 
 @query

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +21,8 @@ def build_session(app: str = "corpusloom", master: str | None = None, **conf: st
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # a row of a Python batch can be a whole page of a megabyte
         "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+        # rows in memory are larger than their compressed files, by which Spark chooses broadcasts
+        "spark.sql.sources.fileCompressionFactor": "4.0",
         **conf,
     }
     builder = SparkSession.builder.appName(app)
@@ -31,21 +36,51 @@ def build_session(app: str = "corpusloom", master: str | None = None, **conf: st
 def staging_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local master may go without the setting; it then gets its own folder,
-    kept in the session so that later calls find the same one.
+    Only a master of one process (``local``, ``local[n]``) may go without the setting; it then
+    gets its own folder, kept in the session so that later calls find the same one. Masters
+    of several machines may not name a ``file:`` folder, which each of them would have for itself.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    check_shared(spark.sparkContext.master, folder)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="corpusloom-")
     spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir()
 
 
+def check_shared(master: str, folder: str | None) -> None:
+    """Refuses a staging folder that the machines of ``master`` don't share."""
+    if not folder and not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    if folder and folder.startswith("file:") and not master.startswith("local"):
+        raise ValueError(f"spark.checkpoint.dir is a local folder: {folder}")
+
+
+_open_blocks: list[list[str]] = []
+
+
 def staged_path(spark: SparkSession, name: str) -> str:
-    return f"{staging_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{staging_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _open_blocks:
+        _open_blocks[-1].append(path)
+    return path
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Removes what is staged within the block at its end. Results must be written by then."""
+    _open_blocks.append([])
+    try:
+        yield
+    finally:
+        for path in _open_blocks.pop():
+            delete_folder(spark, path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -62,11 +97,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(table: DataFrame) -> DataFrame:
-    """A table read from files, dealt out evenly when it has fewer splits than there are cores.
+def spread(table: DataFrame, splits: int) -> DataFrame:
+    """A table dealt out evenly over ``splits`` tasks, for work that is heavy per row on few large files.
 
-    For work that is heavy per row (tokenising, parsing). A large table has splits enough
-    and is left as it is.
+    The number is the caller's; nothing here looks at the machine. A table of many files
+    needs none of it.
     """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    return table.repartition(splits)

@@ -374,8 +374,14 @@ ORACLE = {
     "m1_vocabulary": r"""SELECT word, count(*) AS df FROM (
             SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS word
             FROM documents)
-        GROUP BY word HAVING count(*) >= 2 AND count(*) <= 0.5 * (SELECT count(*) FROM documents)
-        ORDER BY df DESC, word LIMIT 65536""",
+        GROUP BY word HAVING count(*) >= 2 AND count(*) <= 0.5 * (SELECT count(*) FROM documents)""",
+    "m2_m3_topic_sizes": """SELECT printf('%03d', t) AS topic, '1' AS model_version, 10 AS n_terms, 10 AS n_distinct,
+        10 * t AS first_rank, 10 * t + 9 AS last_rank FROM range(25) AS r(t)""",
+    "m4_doc_topic_sums": r"""WITH said AS (
+            SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS word
+            FROM documents), kept AS (
+            SELECT word FROM said GROUP BY word HAVING count(*) >= 2 AND count(*) <= 0.5 * (SELECT count(*) FROM documents))
+        SELECT CAST(doc_id AS VARCHAR) AS docname, 25 AS n_topics, 1.0 AS total FROM said SEMI JOIN kept USING (word) GROUP BY doc_id""",
     "m1_word_lists": r"""SELECT docname, len(w) AS n_words, array_to_string(w, '|') AS words FROM (
         SELECT CAST(doc_id AS VARCHAR) AS docname,
                list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents)""",

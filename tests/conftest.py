@@ -13,6 +13,7 @@ def spark():
     session = build_session("tests", "local[8]", **{
         "spark.ui.enabled": "false",
         "spark.sql.shuffle.partitions": "8",
+        "spark.corpusloom.textSplits": "8",
         "spark.driver.memory": "8g",
         "spark.ui.showConsoleProgress": "false",
     })
