@@ -13,6 +13,25 @@ from pyspark.sql import types as T
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SILENT = frozenset(("script", "style"))
+
+_BLOCKS = (
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "header hr main menu nav ol p pre section table ul"
+).split()
+_CELLS = ("caption", "html", "table", "td", "th", "button", "object", "template")
+#: By start tag: the open elements it ends, and the elements beyond which it ends none (the rules of HTML).
+IMPLIED = {
+    **{tag: ((("p",), _CELLS),) for tag in _BLOCKS},
+    "li": ((("li",), ("ul", "ol", "menu", "dir")), (("p",), _CELLS)),
+    "dt": ((("dt", "dd"), ("dl",)), (("p",), _CELLS)),
+    "dd": ((("dt", "dd"), ("dl",)), (("p",), _CELLS)),
+    "td": ((("td", "th"), ("tr", "table")),),
+    "th": ((("td", "th"), ("tr", "table")),),
+    "tr": ((("tr",), ("table",)),),
+    **{tag: ((("thead", "tbody", "tfoot"), ("table",)),) for tag in ("thead", "tbody", "tfoot")},
+    "option": ((("option",), ("select", "datalist")),),
+    "optgroup": ((("option",), ("select",)), (("optgroup",), ("select",))),
+}
 SIMPLE = re.compile(r"""(?P<tag>[\w*-]+)?(?P<marks>(?:[.#][\w-]+)*)(?:\[(?P<attr>[\w-]+)(?P<op>\$?=)["'](?P<val>[^"']*)["']\])?$""")
 
 
@@ -28,19 +47,29 @@ class Rule:
     anywhere: bool = False
 
 
-def _parse(selector: str) -> list[tuple]:
-    parts = []
-    for piece in selector.split():
-        m = SIMPLE.match(piece)
-        if not m:
-            raise ValueError(f"unsupported selector {piece!r}")
-        marks = re.findall(r"[.#][\w-]+", m["marks"] or "")
-        parts.append((m["tag"] or "*", marks, m["attr"], m["op"], m["val"]))
-    return parts
+def _parse(selector: str) -> list[list[tuple]]:
+    """Alternatives (``a, b``) of parts; a part says whether it is a child (``a > b``) of the one before."""
+    alternatives = []
+    for one in re.split(r",(?![^\[]*\])", selector):
+        parts, child = [], False
+        for piece in re.sub(r">(?![^\[]*\])", " > ", one).split():
+            if piece == ">":
+                child = True
+                continue
+            m = SIMPLE.match(piece)
+            if not m:
+                raise ValueError(f"unsupported selector {piece!r}")
+            marks = re.findall(r"[.#][\w-]+", m["marks"] or "")
+            parts.append((m["tag"] or "*", marks, m["attr"], m["op"], m["val"], child))
+            child = False
+        if not parts or child:
+            raise ValueError(f"unsupported selector {one!r}")
+        alternatives.append(parts)
+    return alternatives
 
 
 def _fits(part: tuple, element: tuple) -> bool:
-    tag, marks, attr, op, val = part
+    tag, marks, attr, op, val, _ = part
     name, attrs = element
     if tag not in ("*", name):
         return False
@@ -53,23 +82,25 @@ def _fits(part: tuple, element: tuple) -> bool:
     return have is not None and (have == val if op == "=" else have.endswith(val))
 
 
-def _selects(parts: list[tuple], path: list[tuple]) -> bool:
-    """True when the last element of ``path`` fits the last part, and ancestors fit the rest."""
+def _ends(parts: list[tuple], path: list[tuple]) -> bool:
+    """True when the last element of ``path`` fits the last part, and its ancestors the parts before."""
+    if not parts:
+        return True
     if not path or not _fits(parts[-1], path[-1]):
         return False
-    todo = len(parts) - 2
-    for element in reversed(path[:-1]):
-        if todo < 0:
-            break
-        if _fits(parts[todo], element):
-            todo -= 1
-    return todo < 0
+    if parts[-1][-1] or len(parts) == 1:
+        return _ends(parts[:-1], path[:-1])
+    return any(_ends(parts[:-1], path[:i]) for i in range(len(path) - 1, 0, -1))
+
+
+def _selects(alternatives: list[list[tuple]], path: list[tuple]) -> bool:
+    return any(_ends(parts, path) for parts in alternatives)
 
 
 class _Collector(HTMLParser):
     """Feeds every record the values its rules select while the page streams by."""
 
-    def __init__(self, scope: list[tuple] | None, rules: list[tuple[Rule, list[tuple]]]):
+    def __init__(self, scope: list[list[tuple]] | None, rules: list[tuple[Rule, list[list[tuple]]]]):
         super().__init__(convert_charrefs=True)
         self.scope, self.rules = scope, rules
         self.path: list[tuple] = []
@@ -98,8 +129,19 @@ class _Collector(HTMLParser):
             values.append("")
             self.whole.append((depth, values, [slot]))
 
+    def _imply_ends(self, tag: str) -> None:
+        """Closes what the start of ``tag`` ends though its own end tag is left out."""
+        for closed, limits in IMPLIED.get(tag, ()):
+            for depth in range(len(self.path) - 1, -1, -1):
+                if self.path[depth][0] in closed:
+                    self._close(depth)
+                    break
+                if self.path[depth][0] in limits:
+                    break
+
     def handle_starttag(self, tag, attrs):
         attrs = dict(attrs)
+        self._imply_ends(tag)
         self.path.append((tag, attrs))
         if self.scope and _selects(self.scope, self.path):
             self._open_record(len(self.path) - 1)

@@ -149,9 +149,10 @@ def s10_docs_json(spark, sf):
 
 
 def _index(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """The index table of the articles with their topics, and the topic terms."""
+    """The articles with their topics, and the topic terms. The topics are staged, the texts are not."""
     terms = given.topic_terms(spark, sf)
-    return stage(given.enriched_articles(spark, sf, terms, "left"), "index"), terms
+    bags = stage(topics.topic_bags(given.doc_topics(spark, sf, terms)), "topic-bags")
+    return documents.enrich(given.articles(spark, sf), bags, "left"), terms
 
 
 def _term_hits(spark, sf) -> DataFrame:
@@ -213,10 +214,10 @@ def s16_index_load(spark, sf):
     """Documents with topics, then edited English ones without: replaced, topics kept."""
     path = staged_path(spark, "index")
     terms = given.topic_terms(spark, sf)
-    index_store.load_index(given.enriched_articles(spark, sf, terms), path, 0)
+    index_store.load_index(given.enriched_articles(spark, sf, terms), path, "upload", 0)
     edited = given.later_copies(given.stored_articles(given.articles(spark, sf)))
-    index_store.load_index(edited, path, 1)
-    return index_store.read_index(spark, path, ["topics"]).select("id", "title", "abstract", "last_update", "topics")
+    index_store.load_index(edited, path, "update", 0)
+    return index_store.read_index(spark, path, keep_topics=True).select("id", "title", "abstract", "last_update", "topics")
 
 
 # --- extraction --------------------------------------------------------------------------
@@ -283,7 +284,7 @@ def x16_contents_rows(spark, sf):
     pages = given.texts(spark, sf, "pages").select("page_id", "html")
     rules = (
         markup.Rule("title", "li a", "own"),
-        markup.Rule("author", "ul li", "text"),
+        markup.Rule("author", "nav > ul > li > a, nav > a", "@href"),
         markup.Rule("link", "li a", "@href"),
     )
     return extract.contents_rows(pages, rules, "nav")
@@ -299,11 +300,11 @@ def x17_links_ending(spark, sf):
 
 
 def _items(spark, sf) -> DataFrame:
-    """Items that may lack an id (document not labelled) or a title (empty first sentence)."""
+    """Items that may lack an id (document not labelled) or a title (first sentence too long for one)."""
     labels = given.table(spark, sf, "labels").select("doc_id", F.col("doc_id").cast("string").alias("id"))
+    first = F.regexp_extract("text", r"^[^.\n]*", 0)
     return given.texts(spark, sf, "documents").join(labels, "doc_id", "left").select(
-        "doc_id", "id",
-        F.nullif(F.regexp_extract("text", r"^[^.\n]*", 0), F.lit("")).alias("title"),
+        "doc_id", "id", F.when(F.char_length(first).between(1, 60), first).alias("title"),
     )
 
 
@@ -325,8 +326,11 @@ def _window(rows: DataFrame) -> tuple[int, int]:
 
 @query
 def f2_increment(spark, sf):
+    """Read from the stored table, whose day partitions the window prunes."""
+    path = staged_path(spark, "article-store")
     rows = given.articles(spark, sf)
-    return increment.increment(rows, *_window(rows)).select("id", "title", "last_update")
+    writers.append_new(rows, path, create=True)
+    return increment.increment(readers.read_articles(spark, path), *_window(rows)).select("id", "title", "last_update")
 
 
 @query
@@ -385,8 +389,10 @@ def p6_unflattened_documents(spark, sf):
 
 @query
 def p8_hit_shape(spark, sf):
+    """Every document as a hit."""
     index, _ = _index(spark, sf)
-    return index.select("id", F.coalesce(F.to_json("topics"), F.lit("")).alias("topics"))
+    hits = index.select(F.lit("all").alias("query"), F.lit(1).alias("order"), "id", F.lit(0.0).alias("score"))
+    return search.hit_rows(hits, index).select("id", "topics")
 
 
 @query
@@ -602,10 +608,13 @@ def m4_doc_topic_sums(spark, sf):
 
 @query
 def m5_extend_corpus(spark, sf):
+    """A corpus of two runs: the stored articles, then the edited ones of the increment."""
+    path = staged_path(spark, "corpus")
     rows = given.articles(spark, sf)
-    corpus = increment.corpus_text(given.stored_articles(rows))
+    writers.append_corpus(given.stored_articles(rows), path, 1)
     edited = rows.withColumn("fulltext", F.concat("fulltext", F.lit(" (edited)")))
-    return modelling.extend_corpus(corpus, edited, *_window(rows))
+    writers.append_corpus(increment.increment(edited, *_window(rows)), path, 2)
+    return readers.read_corpus(spark, path, 2)
 
 
 @query
@@ -661,7 +670,8 @@ def q1_j6_topic_matches(spark, sf):
 def q2_q3_word_matches(spark, sf):
     index, terms = _index(spark, sf)
     prepared = search.PreparedSearch(index, expand.request_clauses(given.title_requests(spark, sf), terms))
-    return prepared.per_request(prepared.by_words())
+    best = search.rank(prepared.top_by_words(search.RESULT_SIZE)).drop("order")
+    return prepared.per_request(best)
 
 
 @query
@@ -695,8 +705,8 @@ def r1_sync_index_stream(spark, sf):
     """The article table streamed into an index that already holds topics."""
     table, index = staged_path(spark, "article-table"), staged_path(spark, "index")
     rows = given.articles(spark, sf)
-    index_store.load_index(given.enriched_articles(spark, sf, given.topic_terms(spark, sf)), index, 0)
+    index_store.load_index(given.enriched_articles(spark, sf, given.topic_terms(spark, sf)), index, "upload", 0)
     writers.append_new(given.later_copies(rows), table, create=True)
-    stream = sync.sync_index_stream(sync.article_stream(spark, table), index, staged_path(spark, "sync"), 1)
+    stream = sync.sync_index_stream(sync.article_stream(spark, table), index, staged_path(spark, "sync"))
     stream.awaitTermination()
-    return index_store.read_index(spark, index, ["topics"])
+    return index_store.read_index(spark, index, keep_topics=True).drop("model_version")

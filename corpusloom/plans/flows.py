@@ -1,7 +1,7 @@
 """The whole flows: ingest, model, upload, update, search, suggest.
 
-Each step with a mark takes ``now`` once at its start and commits it at its end, so a run
-that fails is repeated from the same mark. Every sink is safe to repeat.
+Each step with a mark takes the run stamp once at its start (or is given ``now``) and commits it
+at its end, so a run that fails is repeated from the same mark. Every sink is safe to repeat.
 """
 
 from __future__ import annotations
@@ -9,22 +9,24 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusloom.operators.documents import enrich
 from corpusloom.operators.expand import expand, request_clauses
 from corpusloom.operators.increment import increment
 from corpusloom.operators.modelling import (
-    TopicModel, extend_corpus, fit_topics, model_doc_topics, model_topic_terms, word_lists,
+    TopicModel, fit_topics, model_doc_topics, model_topic_terms, word_lists,
 )
 from corpusloom.operators.search import search
 from corpusloom.operators.store import rejected_items, typed_items, valid_items
 from corpusloom.operators.suggest import suggest
 from corpusloom.operators.topics import topic_bags
-from corpusloom.session import stage
+from corpusloom.session import stage, staging
 from corpusloom.sources import index_store, marks, readers, writers
 
 TOPIC_MARK = "topics"
 UPDATE_MARK = "update"
+UPLOAD_WRITER, UPDATE_WRITER = "upload", "update"
 
 
 @dataclass(frozen=True)
@@ -46,57 +48,74 @@ def ingest(items: DataFrame, places: Places, create: bool = False) -> DataFrame:
     return rejected_items(typed)
 
 
-def model_topics(spark: SparkSession, places: Places, now: int, **fit) -> TopicModel:
-    """Add the increment to the corpus, fit topics on all of it, write both topic tables.
+def _of_version(path: str, version: int) -> str:
+    return f"{path.rstrip('/')}/model_version={version}"
 
-    The new corpus is a new folder named by ``now``; its predecessor, named by the mark, is
-    left untouched, so a failed run starts over from it.
+
+def model_topics(spark: SparkSession, places: Places, now: int | None = None, **fit) -> TopicModel:
+    """Append the increment to the corpus, fit topics on all of it, write both topic tables.
+
+    The tables are folders of the run's version, which is its stamp, and so is the mark. The
+    mark is committed last: until then readers see both tables of the former version, so
+    terms and shares of different fits are never paired. A failed run is repeated from the
+    mark; it leaves a part of the corpus that no mark names, and that nothing reads.
     """
+    now = now or marks.run_stamp()
     mark = marks.get_mark(spark, places.marks, TOPIC_MARK)
     articles = readers.read_articles(spark, places.articles)
-    target = f"{places.corpus.rstrip('/')}/{now}"
-    if mark:
-        corpus = spark.read.parquet(f"{places.corpus.rstrip('/')}/{mark}")
-        extend_corpus(corpus, articles, mark, now).write.mode("overwrite").parquet(target)
-    else:
-        writers.export_corpus(increment(articles, 0, now), target)
-    bags = word_lists(spark.read.parquet(target))
-    model = fit_topics(bags, version=str(now), **fit)
-    writers.write_topic_terms(model_topic_terms(model), places.topic_terms)
-    writers.write_doc_topics(model_doc_topics(model, bags), places.doc_topics)
+    writers.append_corpus(increment(articles, mark, now), places.corpus, now)
+    with staging(spark):
+        bags = word_lists(readers.read_corpus(spark, places.corpus, now))
+        model = fit_topics(bags, version=str(now), **fit)
+        writers.write_topic_terms(model_topic_terms(model), _of_version(places.topic_terms, now))
+        writers.write_doc_topics(model_doc_topics(model), _of_version(places.doc_topics, now))
     marks.set_mark(spark, places.marks, TOPIC_MARK, now)
     return model
 
 
-def upload_documents(spark: SparkSession, places: Places, batches: str, load: int, how: str = "inner") -> None:
-    """Articles with their strong topics as JSON batches, and as a load of the index table."""
-    bags = topic_bags(readers.read_doc_topics(spark, places.doc_topics))
+def upload_documents(spark: SparkSession, places: Places, batches: str, how: str = "inner") -> None:
+    """Articles with their strong topics as a load of the index table, and JSON batches of that load."""
+    version = marks.get_mark(spark, places.marks, TOPIC_MARK)
+    bags = topic_bags(readers.read_doc_topics(spark, _of_version(places.doc_topics, version)))
     articles = readers.read_articles(spark, places.articles)
-    enriched = stage(enrich(articles, bags, how), "enriched")
-    writers.write_index_batches(enriched, batches, with_topics=True)
-    index_store.load_index(enriched, places.index, load)
+    enriched = enrich(articles, bags, how).withColumn("model_version", F.lit(str(version)))
+    number = marks.run_stamp()
+    index_store.load_index(enriched, places.index, UPLOAD_WRITER, number)
+    loaded = index_store.loads(spark, places.index).where((F.col("writer") == UPLOAD_WRITER) & (F.col("number") == number))
+    writers.write_index_batches(loaded, batches, with_topics=True)
 
 
-def update_index(spark: SparkSession, places: Places, batches: str, load: int, now: int) -> None:
+def update_index(spark: SparkSession, places: Places, batches: str, now: int | None = None) -> None:
     """Articles updated since the mark as JSON batches and as a load, without topics."""
+    now = now or marks.run_stamp()
     mark = marks.get_mark(spark, places.marks, UPDATE_MARK)
-    fresh = stage(increment(readers.read_articles(spark, places.articles), mark, now), "fresh")
+    fresh = increment(readers.read_articles(spark, places.articles), mark, now)
     writers.write_index_batches(fresh, batches)
-    index_store.load_index(fresh, places.index, load)
+    index_store.load_index(fresh, places.index, UPDATE_WRITER, now)
     marks.set_mark(spark, places.marks, UPDATE_MARK, now)
 
 
 def topic_terms(spark: SparkSession, places: Places) -> DataFrame:
-    return readers.with_rank(readers.read_topic_terms(spark, places.topic_terms))
+    """The topic terms of the version that the mark names."""
+    version = marks.get_mark(spark, places.marks, TOPIC_MARK)
+    return readers.with_rank(readers.read_topic_terms(spark, _of_version(places.topic_terms, version)))
+
+
+def current_index(spark: SparkSession, places: Places) -> DataFrame:
+    """The index as the current topics see it: topics of another version than theirs are left out."""
+    version = str(marks.get_mark(spark, places.marks, TOPIC_MARK))
+    index = index_store.read_index(spark, places.index, keep_topics=True)
+    return index.withColumn("topics", F.when(F.col("model_version") == version, F.col("topics")))
 
 
 def run_searches(requests: DataFrame, places: Places, queries: str, hits: str) -> None:
     """Write the query log and one ranked CSV per request."""
     spark = requests.sparkSession
-    terms = stage(topic_terms(spark, places), "topic-terms")
-    index = stage(index_store.read_index(spark, places.index, ["topics"]), "index")
-    writers.write_queries(expand(requests, terms).orderBy("request_id"), queries)
-    writers.write_hits(search(index, request_clauses(requests, terms)), hits)
+    with staging(spark):
+        terms = stage(topic_terms(spark, places), "topic-terms")
+        expanded = expand(requests, terms).repartition("request_id").sortWithinPartitions("request_id")
+        writers.write_queries(expanded, queries)
+        writers.write_hits(search(current_index(spark, places), request_clauses(requests, terms)), hits)
 
 
 def suggest_terms(requests: DataFrame, places: Places, **options) -> DataFrame:

@@ -1,13 +1,16 @@
 """The index table: loads are kept side by side, reading settles on one row per id.
 
-A load replaces documents by id. Rewriting a 100 TB table for each load is out of
-question, so a load is one new folder, written under its own number: repeating it after a
-failure overwrites the same folder. Load 0 is the base; ``compact_index`` folds all loads
-into the base of a new table.
+A load replaces documents by id. Rewriting a large table for each load is out of question,
+so a load is one new folder, named by its writer and its number. A load that is repeated
+after a failure replaces itself; loads of different writers never touch each other. Which of
+two loads wins is their order of commit and not of their numbers. ``compact_index`` folds all
+loads into one of a new table.
 """
 
 from __future__ import annotations
 
+import re
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,45 +18,55 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.schema import ARTICLE, STRINGS
-from corpusloom.operators.store import latest, replace
+from corpusloom.operators.store import latest
+from corpusloom.session import stage
 
-LOAD = "load"
-ROW = T.StructType([*ARTICLE.fields, T.StructField("topics", STRINGS)])
+TOPICS = ("topics", "model_version")
+LOAD = ("committed_at", "writer", "number")
+ROW = T.StructType([*ARTICLE.fields, T.StructField("topics", STRINGS), T.StructField("model_version", T.StringType())])
+_STORED = T.StructType([
+    *ROW.fields, T.StructField("committed_at", T.LongType()), T.StructField("writer", T.StringType()), T.StructField("number", T.LongType()),
+])
 
 
-def load_index(docs: DataFrame, path: str, load: int) -> None:
-    """Add or replace documents as load number ``load`` (later numbers win)."""
-    rows = docs if "topics" in docs.columns else docs.withColumn("topics", F.lit(None).cast(STRINGS))
-    fresh = latest(rows.select(*ROW.names))
-    fresh.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{LOAD}={load}")
+def load_index(docs: DataFrame, path: str, writer: str, number: int) -> None:
+    """Add or replace documents as load ``number`` of ``writer``; topics carry the version of their model."""
+    if not re.fullmatch(r"[A-Za-z][A-Za-z0-9_-]*", writer):
+        raise ValueError(f"not a name of a writer: {writer!r}")
+    rows = docs
+    for field in ROW.fields[-2:]:
+        if field.name not in docs.columns:
+            rows = rows.withColumn(field.name, F.lit(None).cast(field.dataType))
+    fresh = latest(rows.select(*ROW.names)).withColumn("committed_at", F.lit(time.time_ns()))
+    fresh.write.mode("overwrite").parquet(f"{path.rstrip('/')}/writer={writer}/number={number}")
 
 
 def loads(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(T.StructType([*ROW.fields, T.StructField(LOAD, T.LongType())])).parquet(path)
-
-
-def resolve(rows: DataFrame, keep_columns: Sequence[str] = ()) -> DataFrame:
-    """The row of the last load of each id; a column in ``keep_columns`` that the last row
-    lacks is taken from the last load that had it. One grouping by id."""
-    others = [c for c in rows.columns if c not in ("id", LOAD)]
-    kept = [
-        F.max_by(c, F.when(F.col(c).isNotNull(), F.col(LOAD))).alias(f"kept_{c}") for c in keep_columns
-    ]
-    last = rows.groupBy("id").agg(F.max(F.struct(LOAD, *others)).alias("last"), *kept)
-    return last.select("id", *[
-        F.coalesce(F.col(f"last.{c}"), F.col(f"kept_{c}")).alias(c) if c in keep_columns else F.col(f"last.{c}")
-        for c in others
-    ])
-
-
-def read_index(spark: SparkSession, path: str, keep_columns: Sequence[str] = ()) -> DataFrame:
-    """One row per id. The later loads are settled among themselves; the base is filtered by
-    their ids and not regrouped."""
-    rows = loads(spark, path)
-    base = rows.where(F.col(LOAD) == 0).drop(LOAD)
-    return replace(base, resolve(rows.where(F.col(LOAD) > 0), keep_columns), "id", keep_columns)
+    return spark.read.schema(_STORED).parquet(path)
+
 
+def read_index(spark: SparkSession, path: str, keep_topics: bool = False) -> DataFrame:
+    """One row per id: that of the load committed last. With ``keep_topics`` a row without topics
+    takes those, and their version, of the last load that had any.
 
-def compact_index(spark: SparkSession, path: str, target: str, keep_columns: Sequence[str] = ()) -> None:
-    """All loads of ``path`` as the base of a new table at ``target``."""
-    read_index(spark, path, keep_columns).write.mode("overwrite").parquet(f"{target.rstrip('/')}/{LOAD}=0")
+    The loads are settled on ids and load names alone. What lost is a narrow table of the
+    rows replaced, and filters the wide rows, which are not regrouped.
+    """
+    rows = loads(spark, path)
+    this = F.struct(*LOAD)
+    last = rows.groupBy("id").agg(F.max(this).alias("last"), F.count("*").alias("n")).where("n > 1").select("id", "last")
+    last = stage(last, "replaced-ids")
+    lost = stage(rows.select("id", this.alias("this")).join(last, "id").where(F.col("this") != F.col("last")).select("id", "this.*"), "lost-rows")
+    won = rows.join(lost, ["id", *LOAD], "left_anti").drop(*LOAD)
+    if not keep_topics:
+        return won
+    # topics of loads that lost; ids that nothing replaced have no row here
+    had = rows.where(F.col("topics").isNotNull()).join(last.select("id"), "id", "left_semi").groupBy("id").agg(
+        F.max(F.struct(*LOAD, *TOPICS)).alias("had")).select("id", "had")
+    kept = [F.when(F.col("topics").isNull(), F.col(f"had.{c}")).otherwise(F.col(c)).alias(c) for c in TOPICS]
+    return won.join(had, "id", "left").select(*ROW.names[:-2], *kept)
+
+
+def compact_index(spark: SparkSession, path: str, target: str) -> None:
+    """All loads of ``path`` as one load of a new table at ``target``, topics kept."""
+    load_index(read_index(spark, path, keep_topics=True), target, "compaction", 0)

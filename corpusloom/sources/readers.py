@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import schema
 from corpusloom.operators.increment import DAY_COLUMN
+from corpusloom.session import stage
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
@@ -15,13 +16,39 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(fields).parquet(path)
 
 
-def _read_csv(spark: SparkSession, path: str, fields) -> DataFrame:
-    return spark.read.schema(fields).option("header", True).option("mode", "FAILFAST").csv(path)
+CORRUPT = "corrupt_record"
 
 
-def read_topic_terms(spark: SparkSession, path: str) -> DataFrame:
+def _read_csv(spark: SparkSession, path: str, fields, outside: bool) -> DataFrame:
+    """Our own files fail on a bad row. Files from outside are read with one column more that
+    holds the bad rows as they are; ``good_rows`` and ``bad_rows`` tell them apart."""
+    reader = spark.read.option("header", True)
+    if not outside:
+        return reader.schema(fields).option("mode", "FAILFAST").csv(path)
+    with_bad = schema.T.StructType([*fields.fields, schema.T.StructField(CORRUPT, schema.T.StringType())])
+    return reader.schema(with_bad).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+
+
+def good_rows(table: DataFrame) -> DataFrame:
+    return table.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+
+def bad_rows(table: DataFrame) -> DataFrame:
+    return table.where(F.col(CORRUPT).isNotNull())
+
+
+def read_topic_terms(spark: SparkSession, path: str, outside: bool = False) -> DataFrame:
     """``topic, term, weight`` as in the file; topics stay strings."""
-    return _read_csv(spark, path, schema.TOPIC_TERMS)
+    return _read_csv(spark, path, schema.TOPIC_TERMS, outside)
+
+
+def in_file_order(table: DataFrame) -> DataFrame:
+    """Adds ``rank``, the order of the rows in their file, which settles ties.
+
+    For a table as read from a file (of a topic-terms size: it is read in one pass per split
+    and ranked by split and place).
+    """
+    return table.withColumn("rank", F.monotonically_increasing_id())
 
 
 def with_rank(topic_terms: DataFrame) -> DataFrame:
@@ -34,8 +61,20 @@ def with_rank(topic_terms: DataFrame) -> DataFrame:
     return topic_terms.withColumn("rank", F.col("topic").cast("bigint") * 1_000_000 + place)
 
 
-def read_doc_topics(spark: SparkSession, path: str) -> DataFrame:
-    return _read_csv(spark, path, schema.DOC_TOPICS)
+def read_doc_topics(spark: SparkSession, path: str, outside: bool = False) -> DataFrame:
+    return _read_csv(spark, path, schema.DOC_TOPICS, outside)
+
+
+def read_corpus(spark: SparkSession, path: str, upto: int) -> DataFrame:
+    """``(docname, text)`` of the runs up to ``upto``: the text of a document's last run.
+
+    Runs are settled on names and run numbers; the texts are only filtered by what a later
+    run replaced.
+    """
+    parts = spark.read.parquet(path).where(F.col("run") <= upto)
+    last = parts.groupBy("docname").agg(F.max("run").alias("last"), F.count("*").alias("n")).where("n > 1").select("docname", "last")
+    replaced = stage(parts.select("docname", "run").join(last, "docname").where("run < last").select("docname", "run"), "replaced-texts")
+    return parts.join(replaced, ["docname", "run"], "left_anti").select("docname", "text")
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

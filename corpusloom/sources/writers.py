@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators.documents import BATCH_SIZE, index_documents, topic_bag_documents
+from corpusloom.operators.documents import BATCH_SIZE, batch_numbers, index_documents, topic_bag_documents
 from corpusloom.operators.increment import DAY_COLUMN, corpus_text, with_update_day
-from corpusloom.operators.store import insert_if_absent, keep_first
+from corpusloom.operators.store import insert_if_absent, keep_first, latest
 from corpusloom.sources.readers import read_articles
 
 
 def append_new(new: DataFrame, path: str, create: bool = False) -> None:
     """Append the rows of ``new`` the article table at ``path`` does not hold yet.
 
-    Safe for one writer per table. ``rebalance`` evens out the files per day: small days
+    ``create`` starts a table and fails where there is one already. Safe for one writer per
+    table. ``rebalance`` evens out the files per day: small days
     share a task, and a day with a third of all rows is split over several.
     """
     spark = new.sparkSession
     rows = keep_first(new) if create else insert_if_absent(new, read_articles(spark, path))
-    with_update_day(rows).hint("rebalance", DAY_COLUMN).write.mode("append").partitionBy(DAY_COLUMN).parquet(path)
+    with_update_day(rows).hint("rebalance", DAY_COLUMN).write.mode("errorifexists" if create else "append").partitionBy(DAY_COLUMN).parquet(path)
 
 
 def export_corpus(articles: DataFrame, path: str) -> None:
@@ -27,10 +28,24 @@ def export_corpus(articles: DataFrame, path: str) -> None:
     corpus_text(articles).write.mode("overwrite").parquet(path)
 
 
-def write_index_batches(articles: DataFrame, path: str, with_topics: bool = False, n: int = BATCH_SIZE) -> None:
-    """Index documents as JSON lines, at most ``n`` per file, without a shuffle."""
+def write_index_batches(
+    articles: DataFrame, path: str, with_topics: bool = False, n: int = BATCH_SIZE, exact: bool = False
+) -> None:
+    """Index documents as JSON lines, at most ``n`` per file, without a shuffle.
+
+    With ``exact`` every file but the last holds ``n`` documents: they are numbered
+    (``batch_numbers``, so ids must be unique) and shuffled into a folder ``batch=...`` each.
+    """
     docs = index_documents(articles, with_topics)
-    docs.write.mode("overwrite").option("maxRecordsPerFile", n).json(path)
+    if exact:
+        batch_numbers(docs, size=n).repartition("batch").write.mode("overwrite").partitionBy("batch").json(path)
+    else:
+        docs.write.mode("overwrite").option("maxRecordsPerFile", n).json(path)
+
+
+def append_corpus(articles: DataFrame, path: str, run: int) -> None:
+    """The texts of a run as a part of the corpus; what is there stays. Repeating a run replaces its part."""
+    corpus_text(latest(articles)).write.mode("overwrite").parquet(f"{path.rstrip('/')}/run={run}")
 
 
 def write_topic_bags(bags: DataFrame, path: str) -> None:

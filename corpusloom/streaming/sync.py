@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -22,19 +24,18 @@ def article_stream(spark: SparkSession, path: str, files_per_batch: int = 10_000
     )
 
 
-def sync_index_stream(
-    articles: DataFrame, index_path: str, checkpoint: str, first_load: int = 0
-) -> StreamingQuery:
+def sync_index_stream(articles: DataFrame, index_path: str, checkpoint: str) -> StreamingQuery:
     """Load every micro-batch into the index table, then stop when no input is left.
 
-    The checkpoint is the high-water mark. A micro-batch is written as the load of its own
-    number, so a batch repeated after a failure replaces itself and nothing is loaded
-    twice. Loads carry no topics; read the table with ``keep_columns=['topics']`` to keep
-    those loaded before.
+    The checkpoint is the high-water mark, and its name is that of the writer: a micro-batch
+    is written as the load of its number, so a batch repeated after a failure replaces itself,
+    while a stream with another checkpoint, or any other writer, never does. Loads carry no
+    topics; read the table with ``keep_topics`` to keep those loaded before.
     """
+    writer = f"stream-{hashlib.md5(checkpoint.rstrip('/').encode()).hexdigest()}"
     return (
         articles.writeStream.trigger(availableNow=True)
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda batch, number: load_index(batch, index_path, first_load + number))
+        .foreachBatch(lambda batch, number: load_index(batch, index_path, writer, number))
         .start()
     )

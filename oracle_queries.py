@@ -254,7 +254,7 @@ HREFS = r"""regexp_extract_all(html, '<li><a href="([^"]*)">', 1)"""
 LABELS = r"""regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1)"""
 LABEL_TEXT = decoded(f"array_to_string({LABELS}, '|')")
 
-ITEMS = r"""SELECT d.doc_id, CAST(l.doc_id AS VARCHAR) AS id, nullif(regexp_extract(text, '^[^.\n]*'), '') AS title
+ITEMS = r"""SELECT d.doc_id, CAST(l.doc_id AS VARCHAR) AS id, CASE WHEN len(regexp_extract(text, '^[^.\n]*')) BETWEEN 1 AND 60 THEN regexp_extract(text, '^[^.\n]*') END AS title
     FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
 
 ORACLE = {
@@ -303,7 +303,7 @@ ORACLE = {
     "x13_x15_item_links": f"""SELECT page_id, {decoded(f"({HREFS})[2]")} AS path,
         'https://example.org' || {decoded(f"({HREFS})[2]")} AS url_next FROM pages""",
     "x14_next_page": f"SELECT page_id, 'https://example.org' || {decoded(f'({HREFS})[1]')} AS url_next FROM pages",
-    "x16_contents_rows": f"""SELECT page_id, {LABEL_TEXT} AS title, {LABEL_TEXT} AS author,
+    "x16_contents_rows": f"""SELECT page_id, {LABEL_TEXT} AS title, {decoded(f"array_to_string({HREFS}, '|')")} AS author,
         {decoded(f"({HREFS})[1]")} AS link FROM pages""",
     "x17_links_ending": f"""SELECT page_id, {decoded(f"array_to_string(list_filter({HREFS}, lambda h: h LIKE '%.'), '|')")} AS file_urls FROM pages""",
     "f1_valid_items": f"SELECT * FROM ({ITEMS}) WHERE id IS NOT NULL AND title IS NOT NULL",
@@ -404,7 +404,7 @@ ORACLE = {
     "g2_expand_terms": sql(f"SELECT request_id, request, len(words) AS n_words, {query_of('boosted')} FROM clause", CLAUSES, "pairs"),
     "a8_request_clauses": sql("SELECT request_id, array_to_string(words, '|') AS words, array_to_string(topics, '|') AS topics FROM clause", CLAUSES, "turns"),
     "q1_j6_topic_matches": sql("SELECT request_id, id, round(topic_score, 6) AS score FROM tsc", SEARCH, "pairs"),
-    "q2_q3_word_matches": sql("SELECT request_id, id, round(word_score + coalesce(topic_score, 0), 6) AS score FROM allw LEFT JOIN tsc USING (request_id, id)", SEARCH, "titles"),
+    "q2_q3_word_matches": sql("SELECT request_id, id, round(word_score + coalesce(topic_score, 0), 6) AS score FROM allw LEFT JOIN tsc USING (request_id, id) QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, id) <= 30", SEARCH, "titles"),
     "q4_q5_match_all": sql("SELECT * FROM sc", SEARCH, "pairs"),
     "q6_search_terms": sql("SELECT * FROM hits", SEARCH, "pairs"),
     "q6_search_passages": sql("SELECT * FROM hits", SEARCH, "passages"),

@@ -110,3 +110,28 @@ ER  -
     assert (only["title"], only["authors"], only["abstract"]) == ("Only title", None, None)
     assert sorted(r["reason"] for r in rejected_items(rows).collect()) == ["id missing", "title missing"]
     assert valid_items(rows).count() == 2
+
+
+def selected(spark, html, selector, take="text"):
+    record = extract_records(F.col("html"), [Rule("x", selector, take)])
+    return pages(spark, html).select(record[0]["x"].alias("x")).first()["x"]
+
+
+def test_end_tags_may_be_left_out(spark):
+    assert selected(spark, "<ul><li>a<li>b</ul>", "li") == ["a", "b"]
+    assert selected(spark, "<p>one<p>two<div>three</div>", "p") == ["one", "two"]
+    assert selected(spark, "<p><b>one<br><p>two", "p") == ["one", "two"]
+    assert selected(spark, "<ul><li>a<ul><li>b<li>c</ul><li>d</ul>", "li") == ["abc", "b", "c", "d"]
+    assert selected(spark, "<table><tr><td>a<td>b<tr><td>c<table><tr><td>d</table></table>", "td") == ["a", "b", "cd", "d"]
+    assert selected(spark, "<table><thead><tr><th>a<tbody><tr><td>b</table>", "tbody") == ["b"]
+    assert selected(spark, "<dl><dt>a<dd>b<dt>c</dl>", "dt") == ["a", "c"]
+    assert selected(spark, "<select><optgroup><option>a<option>b<optgroup><option>c</select>", "option") == ["a", "b", "c"]
+
+
+def test_children_and_lists_of_selectors(spark):
+    html = "<div><p>a</p><section><p>b</p></section></div><h1>c</h1>"
+    assert selected(spark, html, "div > p") == ["a"]
+    assert selected(spark, html, "div p") == ["a", "b"]
+    assert selected(spark, html, "section>p, h1") == ["b", "c"]
+    assert selected(spark, "<div><div><p>a</p></div></div>", "div > div > p") == ["a"]
+    assert selected(spark, "<a href='x>y,z'>a</a>", "a[href='x>y,z']") == ["a"]

@@ -1,6 +1,9 @@
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.session import spread, stage, staged_path
+from corpusloom.session import check_shared, spread, stage, staged_path, staging
 from corpusloom.sources.readers import read_pages
 
 
@@ -14,15 +17,27 @@ def test_staged_tables_are_broadcast_by_their_file_size(spark):
     assert "SortMergeJoin" in plan
 
 
-def test_spread_deals_out_few_splits_only(spark):
+def test_spread_deals_out_as_asked(spark):
     path = staged_path(spark, "one")
     spark.range(100).coalesce(1).write.parquet(path)
-    assert spread(spark.read.parquet(path)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = staged_path(spark, "many")
-    spark.range(1000).repartition(16).write.parquet(many)
-    table = spark.read.option("maxPartitionBytes", 1).parquet(many)
-    if table.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
-        assert "Exchange" not in spread(table)._jdf.queryExecution().executedPlan().toString()
+    assert spread(spark.read.parquet(path), 5).rdd.getNumPartitions() == 5
+
+
+def test_nothing_staged_is_left(spark):
+    with staging(spark):
+        rows = stage(spark.range(10).toDF("id"), "left")
+        path = rows.inputFiles()[0].rsplit("/", 1)[0]
+        assert rows.count() == 10 and os.path.isdir(path.removeprefix("file://").removeprefix("file:"))
+    assert not os.path.exists(path.removeprefix("file://").removeprefix("file:"))
+
+
+def test_folders_that_are_not_shared_are_refused():
+    check_shared("local[8]", None)
+    check_shared("local", "file:/tmp/x")
+    check_shared("spark://host:7077", "hdfs://host/staging")
+    for master, folder in (("spark://host:7077", None), ("yarn", "file:///tmp/x"), ("local-cluster[2,1,1024]", None)):
+        with pytest.raises(ValueError):
+            check_shared(master, folder)
 
 
 def test_html_files_as_pages(spark):

@@ -1,6 +1,7 @@
 import csv
 import glob
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions.numbers import as_double, as_integer, number_json
@@ -34,6 +35,29 @@ def test_batches_hold_4001_documents(spark):
         assert sizes == want
 
 
+def test_exact_batches_are_filled(spark):
+    path = staged_path(spark, "batches")
+    writers.write_index_batches(docs(spark, 9000).repartition(5), path, exact=True)
+    sizes = [sum(1 for _ in open(f)) for f in sorted(glob.glob(f"{local(path)}/batch=*/part-*.json"))]
+    assert sizes == [4001, 4001, 998]
+
+
+def test_bad_rows_of_outside_files_are_told_apart(spark):
+    path = staged_path(spark, "outside")
+    spark.createDataFrame([("topic,term,weight\n002,b,0.5\n001,a,x\n001,c,0.5",)], "value string").coalesce(1).write.text(path)
+    table = readers.read_topic_terms(spark, path, outside=True)
+    assert [r[readers.CORRUPT] for r in readers.bad_rows(table).collect()] == ["001,a,x"]
+    ranked = readers.in_file_order(readers.good_rows(table)).orderBy("rank").collect()
+    assert [r["term"] for r in ranked] == ["b", "c"]
+
+
+def test_create_refuses_a_table_that_exists(spark):
+    path = staged_path(spark, "store")
+    writers.append_new(articles(spark, article("1")), path, create=True)
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        writers.append_new(articles(spark, article("1")), path, create=True)
+
+
 def test_batch_numbers(spark):
     numbered = batch_numbers(docs(spark, 9000), size=4001)
     got = {r["batch"]: r["n_documents"] for r in batch_counts(numbered).collect()}
@@ -62,6 +86,7 @@ def test_hits_csv_and_query_log(spark):
     log = staged_path(spark, "log")
     writers.write_queries(expanded, log)
     lines = [r["value"] for r in spark.read.text(log).collect()]
+    # fixed value: the query of one word, as captured
     assert lines == ["/2013-01-01/search?q=(or+(and(near+distance%3D3+boost%3D2+'patina')))"
                      "&q.parser=structured&return=title,abstract,article_type,topics&size=30"]
 
@@ -70,6 +95,7 @@ def test_modes(spark):
     terms = spark.createDataFrame([("001", "a", 0.5, 1)], "topic string, term string, weight double, rank long")
     requests = spark.createDataFrame([(1, "a")], "request_id long, request string")
     tail = "&q.parser=structured&return=title,abstract,article_type,topics&size=30"
+    # fixed values: the clauses of the modes
     got = {m: expand(requests, terms, mode=m).collect()[0]["query"] for m in ("words", "topics")}
     assert got["words"] == "/2013-01-01/search?q=(and(near+distance%3D3+'a'))" + tail
     topic = "(term+field%3Dtopics+'001')"

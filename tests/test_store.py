@@ -60,7 +60,25 @@ def test_a_hot_key_reaches_the_reducer_as_one_row_per_split(spark):
     assert first.where("id = 'hot'").collect()[0]["last_update"] == 0
     assert first.count() == 40_001
     plan = first._jdf.queryExecution().executedPlan().toString()
-    assert "partial_min" in plan and plan.count("Exchange hashpartitioning") == 1
+    assert "partial_count" in plan and "partial_min" in plan
+
+
+def test_keys_of_one_row_are_not_grouped_by_content(spark):
+    rows = spark.range(100).select(F.col("id").cast("string").alias("id"), F.lit("t").alias("title"), F.lit(1).alias("last_update"), F.lit("text").alias("abstract"))
+    optimized = store.keep_first(rows)._jdf.queryExecution().optimizedPlan().toString()
+    single, contested = optimized.split("LeftAnti")[1].split("Aggregate", 1)[0], optimized.count("Aggregate")
+    assert "abstract" in single and contested >= 2  # the wide side of the anti join meets no aggregate
+    at_once = articles(spark, article("1", abstract="b"), article("1", abstract="a"), article(None, abstract="c"), article(None, abstract="d"), article("2"))
+    assert sorted((r["id"] or "", r["abstract"]) for r in store.keep_first(at_once).collect()) == [("", "c"), ("1", "a"), ("2", "a")]
+    assert sorted((r["id"] or "", r["abstract"]) for r in store.latest(at_once).collect()) == [("", "d"), ("1", "b"), ("2", "a")]
+
+
+def test_stored_keys_are_left_out_before_the_first_is_looked_for(spark):
+    held, new = articles(spark, article("1")), articles(spark, article("1", abstract="x"), article("2"), article("2", abstract="b"))
+    plan = store.insert_if_absent(new, held)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Aggregate"):]
+    assert "LeftAnti" in below
+    assert [(r["id"], r["abstract"]) for r in store.insert_if_absent(new, held).collect()] == [("2", "a")]
 
 
 def test_increment_is_closed(spark):
@@ -98,16 +116,18 @@ def test_upsert_replaces_and_keeps_topics_when_asked(spark):
 def test_index_loads(spark):
     path, target = staged_path(spark, "index"), staged_path(spark, "index")
     with_topics = articles(spark, article("1"), article("2")).withColumn("topics", F.array(F.lit("001")))
-    index_store.load_index(with_topics, path, 0)
+    index_store.load_index(with_topics, path, "upload", 0)
     for _ in range(2):  # a repeated load replaces itself
-        index_store.load_index(articles(spark, article("2", abstract="v2"), article("3")), path, 1)
-    index_store.load_index(articles(spark, article("3", abstract="v3")), path, 2)
+        index_store.load_index(articles(spark, article("2", abstract="v2"), article("3")), path, "update", 1)
+    index_store.load_index(articles(spark, article("3", abstract="v3")), path, "stream", 0)
     want = [("1", "a", ["001"]), ("2", "v2", ["001"]), ("3", "v3", None)]
     show = lambda df: sorted((r["id"], r["abstract"], r["topics"]) for r in df.collect())
-    assert show(index_store.read_index(spark, path, ["topics"])) == want
+    assert show(index_store.read_index(spark, path, keep_topics=True)) == want
     assert show(index_store.read_index(spark, path)) == [("1", "a", ["001"]), ("2", "v2", None), ("3", "v3", None)]
-    index_store.compact_index(spark, path, target, ["topics"])
+    index_store.compact_index(spark, path, target)
     assert show(index_store.read_index(spark, target)) == want
+    with pytest.raises(ValueError):
+        index_store.load_index(with_topics, path, "a/b", 0)
 
 
 def test_marks(spark):
