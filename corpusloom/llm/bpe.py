@@ -48,9 +48,9 @@ SUFFIXES1 = ("s", "t", "m", "d")
 SUFFIXES2 = ("re", "ve", "ll")
 
 BLOCK = 256
-CACHE_SIZE = 400_000
+CACHE_SIZE = 200_000
 LONG_PIECE = 64
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 3 << 20
 
 
 def _step(state: int, symbol: int) -> tuple[int, bool]:
@@ -152,10 +152,11 @@ def piece_starts(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
         reach *= 2
     enter = np.full(n_blocks, CLOSED, np.intp)
     enter[1:] = apply[totals[:-1].astype(np.intp) * 8 + CLOSED]
-    before = np.empty((BLOCK, n_blocks), np.uint8)
-    before[0] = enter
-    np.take(apply, seen[:-1].astype(np.intp) * 8 + enter, out=before[1:])
-    flags = np.take(starts, before.astype(np.uint8) * 16 + columns)
+    flags = np.empty((BLOCK, n_blocks), bool)
+    state = enter.astype(np.uint8)  # row by row, so that no array of wide indices is made
+    for i in range(BLOCK):
+        np.take(starts, state * np.uint8(16) + columns[i], out=flags[i])
+        np.take(apply, seen[i].astype(np.intp) * 8 + enter, out=state)
     return np.flatnonzero(np.ascontiguousarray(flags.T).ravel()[:n])
 
 
@@ -226,7 +227,7 @@ class Coder:
         self.lengths = np.array([len(t) for t in tokens], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        self.cache: dict[bytes, list[int]] = {}
+        self.cache: dict[bytes, tuple[int, ...]] = {}
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and offsets: text i has ``ids[offsets[i]:offsets[i + 1]]``. Null texts are empty."""
@@ -250,7 +251,7 @@ class Coder:
         for piece in coded.dictionary.to_pylist():
             ids = cache.get(piece)
             if ids is None:
-                ids = merge(piece, ranks)
+                ids = tuple(merge(piece, ranks))
                 if len(piece) <= LONG_PIECE:
                     cache[piece] = ids
             merged.append(ids)

@@ -48,6 +48,7 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             before = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(start, stop - start)
+            pa.default_memory_pool().release_unused()  # a worker lives on after its task
             start = stop
 
 

@@ -41,7 +41,7 @@ STEPS, RIDGE = 25, 0.01
 MISS_COST = 2.0
 #: How far the label of a sampled document is trusted, as one more vote on its posterior.
 LABEL_ACCURACY = 0.98
-CACHE_SIZE = 300_000
+CACHE_SIZE = 150_000
 _EDGES = string.punctuation
 
 
@@ -70,7 +70,7 @@ def _doc_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 def entry_counts(docs: DataFrame) -> DataFrame:
     """(kind, entry, toxic, clean): documents of either label (doc_id, text, toxic) that hold an entry."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "text", 8 << 20):
+        for batch in bounded(batches, "text"):
             words, text, word = _doc_words(batch.column("text"))
             label = batch.column("toxic").to_numpy(zero_copy_only=False)
             for k in KINDS:
@@ -200,7 +200,7 @@ def entry_hits(docs: DataFrame, entries: dict[tuple[int, str], int]) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple[int, ...]] = {}
-        for batch in bounded(batches, "text", 8 << 20):
+        for batch in bounded(batches, "text"):
             words, text, word = _doc_words(batch.column("text"))
             if len(cache) > CACHE_SIZE:
                 cache.clear()
