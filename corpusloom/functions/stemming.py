@@ -12,8 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark import SparkContext
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the published algorithm.
@@ -161,7 +160,7 @@ def _steps(text: Column, r1: Column, r2: Column, steps: list[Callable[[_Word], C
 
 def stem(column: str) -> Column:
     """Stem of the words in a column; words of one or two letters are their own stem."""
-    return _stem(column, SparkContext._active_spark_context.applicationId)
+    return _stem(column, SparkSession.active().sparkContext.applicationId)
 
 
 @lru_cache(maxsize=32)

@@ -18,6 +18,7 @@ from corpusloom.operators import (
     documents, expand, extract, increment, lookup, modelling, search, store, suggest, topics,
 )
 from corpusloom.plans import bindings as given
+from corpusloom.schema import INDEX_DOCUMENT
 from corpusloom.session import stage, staged_path
 from corpusloom.sources import index_store, marks, readers, ris, writers
 from corpusloom.streaming import sync
@@ -133,6 +134,15 @@ def s8_index_batches(spark, sf):
     return documents.flatten(readers.read_index_documents(spark, path), "__")
 
 
+@query
+def s8_exact_batches(spark, sf):
+    """Upload files that are filled: the batch number and the documents of each."""
+    path = staged_path(spark, "exact-batches")
+    writers.write_index_batches(given.articles(spark, sf), path, exact=True)
+    back = spark.read.schema(T.StructType([*INDEX_DOCUMENT.fields, T.StructField("batch", T.LongType())])).json(path)
+    return documents.batch_counts(back)
+
+
 @query
 def s9_topic_bags_json(spark, sf):
     path = staged_path(spark, "topic-bags")
@@ -395,6 +405,13 @@ def p8_hit_shape(spark, sf):
     return search.hit_rows(hits, index).select("id", "topics")
 
 
+@query
+def p11_run_stamp(spark, sf):
+    """Which events the run that starts now has behind it."""
+    now = marks.run_stamp()
+    return given.table(spark, sf, "events").select("event_id", (F.unix_timestamp("ts") <= F.lit(now)).alias("past"))
+
+
 @query
 def p9_numbers(spark, sf):
     value = (F.col("l_quantity") - F.col("l_extendedprice")).cast("decimal(18,2)")

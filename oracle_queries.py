@@ -362,6 +362,9 @@ ORACLE = {
     "a4_top_term_of_topic": sql("SELECT topic, top_term FROM top", [*TERMS, "top"]),
     "a5_keep_first": sql(f"SELECT {ARTICLE} FROM art", ["art"]),
     "a6_distinct_terms": sql("SELECT term, min(rank) AS first_rank FROM tt GROUP BY term", TERMS),
+    "s8_exact_batches": """SELECT place // 4001 AS batch, count(*) AS n_documents
+        FROM (SELECT row_number() OVER () - 1 AS place FROM documents) GROUP BY 1""",
+    "p11_run_stamp": "SELECT event_id, epoch(ts) <= epoch(now()) AS past FROM events",
     "w2_a7_batch_counts": """SELECT place // 4001 AS batch, count(*) AS n_documents
         FROM (SELECT row_number() OVER () - 1 AS place FROM lineitem) GROUP BY 1""",
     "w2_batch_numbers": """SELECT CAST(o_orderkey AS VARCHAR) AS id, o_custkey,
