@@ -224,13 +224,13 @@ def _cells(vectors: DataFrame, min_group: int) -> DataFrame:
     sizes = stage(sizes, "groups")
     small = sizes.where(F.col("n") < min_group)
     pooled = small.groupBy("of_lang").agg(F.sum("n").alias("n_lang"))
-    rest = pooled.where(F.col("n_lang") < min_group).agg(F.coalesce(F.sum("n_lang"), F.lit(0)).alias("n_rest"))
+    rest = pooled.where(F.col("n_lang") < min_group).agg(F.sum("n_lang")).first()[0] or 0
     cell = (
         F.when(F.col("n") >= min_group, F.col("own"))
         .when(F.col("n_lang") >= min_group, F.concat("of_lang", F.lit(" | *")))
-        .when(F.col("n_rest") >= min_group, F.lit("*"))
+        .when(F.lit(rest >= min_group), F.lit("*"))
     )
-    mapped = sizes.join(pooled, "of_lang", "left").join(rest, F.lit(True)).select("own", cell.alias("cell"))
+    mapped = sizes.join(pooled, "of_lang", "left").select("own", cell.alias("cell"))
     return vectors.withColumn("own", own).join(mapped, "own").drop("own")
 
 
