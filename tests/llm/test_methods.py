@@ -363,14 +363,54 @@ def test_shards_are_written(spark, tmp_path):
 
 # -- pipeline
 
-def test_pipeline_stages(spark):
+def test_pipeline_stages(spark, tmp_path):
+    """Every stage against brute force or SQL on its own input."""
+    import base64
+    import hashlib
+
+    import duckdb
+    import public_tokenizers as public
+    import tiktoken
+
     import corpus_pipeline
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, seen = docs.columns, []
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = spark.createDataFrame(stage(spark, docs, SF).toPandas(), docs.schema)
-        assert docs.columns == columns
-        seen.append(docs.count())
-    assert 1000 > seen[0] > seen[1] >= seen[2] > 0
-    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-    assert last.count() == seen[-1] and {"doc_id", "ids", "token_ends", "n_tokens"} <= set(last.columns)
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "simhash_near_dedup", "mixing", "byte_bpe"]
+    tables = [spark.read.parquet(f"{SF}/documents.parquet")]
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, tables[-1], SF).write.parquet(f"{tmp_path}/{i}")
+        tables.append(spark.read.parquet(f"{tmp_path}/{i}"))
+    assert all(t.columns == tables[0].columns for t in tables[:-1])
+    rows = [t.collect() for t in tables]
+
+    def said(statement, i):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/{i}/*.parquet'")
+        cursor = con.execute(statement)
+        names = [d[0] for d in cursor.description]
+        return [dict(zip(names, r)) for r in cursor.fetchall()]
+
+    # toxicity: what the operator predicts goes, nothing else does
+    toxic = {r.doc_id for r in toxicity.judge(tables[0], spark.read.parquet(f"{SF}/labels.parquet")).where("predicted = 1").collect()}
+    assert toxic and [r for r in sorted(rows[0]) if r.doc_id not in toxic] == sorted(rows[1])
+    # line dedup: texts as SQL has them; documents without a word left go
+    want = {r["doc_id"]: r for r in said(queries.ORACLE["op8_line_dedup"], 0)}
+    kept = {r.doc_id: r.text for r in rows[2]}
+    for i, r in want.items():
+        if i in kept:
+            assert hashlib.md5(kept[i].encode()).hexdigest() == r["text_md5"]
+        else:
+            assert r["n_exact"] + r["n_near"] > 0
+    assert all(t.split() for i, t in kept.items() if want[i]["n_exact"] + want[i]["n_near"])
+    # near duplicates: the smallest id of every component
+    docs = sorted(rows[2])
+    prints = [plain_fingerprint(r.text) for r in docs]
+    root = groups_of([(i, j) for i in range(len(docs)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4], len(docs))
+    assert sorted(r.doc_id for r in rows[3]) == sorted({docs[i].doc_id for i in root})
+    # mixing: each document as often as SQL takes its words
+    words = Counter()
+    for r in rows[4]:
+        words[r.doc_id] += len(r.text.split())
+    assert words == Counter({r["doc_id"]: r["taken"] for r in said(queries.ORACLE["op5_mix_sources"], 2) if r["taken"]})
+    # tokens: as the library makes them
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(corpus_pipeline.TOKENIZER, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert sorted((r.doc_id, r.n_tokens, r.ids) for r in rows[5]) == sorted((r.doc_id, len(t), t) for r in rows[4] for t in [library.encode_ordinary(r.text)])
