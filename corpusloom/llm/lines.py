@@ -32,6 +32,9 @@ from corpusloom.llm.common import bounded, stage
 
 MIN_WORDS, NEAR_WORDS = 3, 8
 _LAST = (1 << 63) - 1
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_LENGTH = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _hash(data: bytes, salt: int = 0) -> int:
@@ -57,12 +60,12 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def line_table(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
-    """(doc_id, line, n, h1, h2, halves) of every line of enough words; halves are null below ``near_words``."""
-    schema = "doc_id long, line int, n int, h1 long, h2 long, halves array<long>"
+    """(doc_id, line, h1, h2, halves) of every line of enough words; halves are null below ``near_words``."""
+    schema = "doc_id long, line int, h1 long, h2 long, halves array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text"):
-            ids, numbers, sizes, one, two, halves = [], [], [], [], [], []
+            ids, numbers, one, two, halves = [], [], [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 for number, line in enumerate((text or "").encode().split(b"\n")):
                     words = line.split()
@@ -71,18 +74,33 @@ def line_table(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NE
                     joined = b" ".join(words)
                     ids.append(doc_id)
                     numbers.append(number)
-                    sizes.append(len(words))
                     one.append(_hash(joined, 1))
                     two.append(_hash(joined, 2))
                     halves.append(_half_keys(words) if len(words) >= near_words else None)
             yield pa.RecordBatch.from_arrays([
-                pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(sizes, pa.int32()), pa.array(one, pa.int64()),
+                pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(one, pa.int64()),
                 pa.array(two, pa.int64()), pa.array(halves, pa.list_(pa.int64())),
-            ], names=["doc_id", "line", "n", "h1", "h2", "halves"])
+            ], names=["doc_id", "line", "h1", "h2", "halves"])
 
     return _numbered(docs).mapInArrow(run, schema)
 
 
+def variant_keys(words: list[bytes]) -> np.ndarray:
+    """Hash of the words, then of the words without the first, without the second, ...
+
+    Polynomials of word hashes, so a line of n words costs n steps whatever its length:
+    what stands after a left-out word moves up by one power, a multiplication by the inverse
+    of the base. (Of hashes that collide the texts are compared in the end.)
+    """
+    n = len(words)
+    power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, _BASE)]))
+    upto = np.cumsum(np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, n) * power)
+    before = np.concatenate([[np.uint64(0)], upto[:-1]])
+    keys = np.concatenate([upto[-1:], before + (upto[-1] - upto) * _INVERSE])
+    keys += np.concatenate([[np.uint64(n)], np.full(n, n - 1, np.uint64)]) * _LENGTH
+    return (keys ^ (keys >> np.uint64(32))) * _LENGTH
+
+
 def _line_variants(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Lines of docs at the places ``wanted`` (doc_id, lines), each (doc_id, line, words, variants): keys of the line
     itself (place -1) and of the line without each of its words (place of the word)."""
@@ -95,13 +113,7 @@ def _line_variants(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 split = text.encode().split(b"\n")
                 for number in lines:
                     words = split[number].split()
-                    joined = b" ".join(words)
-                    ends = np.cumsum([len(w) + 1 for w in words]).tolist()
-                    keys, start = [_hash(joined, 3)], 0
-                    for end in ends:
-                        keys.append(_hash(joined[:start] + joined[end:] if end <= len(joined) else joined[:max(0, start - 1)], 3))
-                        start = end
-                    rows.append((doc_id, number, joined.decode(), list(range(-1, len(words))), keys))
+                    rows.append((doc_id, number, b" ".join(words).decode(), np.arange(-1, len(words), dtype=np.int32), variant_keys(words).view(np.int64)))
             columns = list(zip(*rows)) if rows else [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "line", "words", "places", "keys"])
@@ -128,10 +140,11 @@ def _place() -> Column:
 
 def _near_lines(docs: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFrame:
     """(doc_id, line) of first occurrences that have an earlier line within one edit."""
-    halves = lines.where(F.col("halves").isNotNull()).select("h1", "h2", F.explode("halves").alias("half"))
+    # h1 alone tells lines apart well enough here: a collision only makes one more candidate
+    halves = lines.where(F.col("halves").isNotNull()).select("h1", F.explode("halves").alias("half"))
     met = halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where(F.col("low") != F.col("high")).select("half")
-    candidates = halves.join(met, "half").select("h1", "h2").distinct()
-    wanted = firsts.join(candidates, ["h1", "h2"], "left_semi").groupBy("doc_id").agg(F.collect_list("line").alias("lines"))
+    candidates = halves.join(met, "half").select("h1").distinct()
+    wanted = firsts.join(candidates, "h1", "left_semi").groupBy("doc_id").agg(F.collect_list("line").alias("lines"))
     found = stage(_line_variants(docs, wanted), "line-variants")
     variants = found.select("doc_id", "line", F.explode(F.arrays_zip("places", "keys")).alias("v")).select("doc_id", "line", F.col("v.places").alias("place"), F.col("v.keys").alias("key"))
     # replacements: equal without the word at one place

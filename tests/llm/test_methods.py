@@ -282,6 +282,15 @@ def test_lines_against_all_pairs(spark):
     assert n_near > 10
 
 
+def test_variant_keys_are_those_of_the_shorter_line():
+    rng = random.Random(14)
+    for n in (8, 9, 40):
+        words = [rng.choice([b"a", b"b", b"cc"]) for _ in range(n)]
+        keys = lines.variant_keys(words)
+        assert [int(lines.variant_keys(words[:p] + words[p + 1:])[0]) for p in range(n)] == keys[1:].tolist()
+    assert len(lines.variant_keys([b"x"] * 300_000)) == 300_001
+
+
 @given(st.lists(st.sampled_from("ab c".split()), max_size=6), st.lists(st.sampled_from("ab c".split()), max_size=6))
 @settings(max_examples=300, deadline=None)
 def test_one_edit(a, b):
