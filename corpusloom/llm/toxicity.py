@@ -300,6 +300,6 @@ def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs without those that are predicted toxic; documents without doc_id stay."""
+    """docs without those that are predicted toxic; documents without doc_id stay, rows of one doc_id go together."""
     bad = judge(docs, labels, **options).where(F.col("predicted") == 1).select("doc_id")
     return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
