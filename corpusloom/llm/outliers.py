@@ -2,8 +2,10 @@
 
 Every document becomes a vector of transformed text statistics. Per language and source the
 centre and the scatter of the vectors are estimated by the minimum covariance determinant:
-start from medians and median deviations, then concentrate on the ``SUPPORT`` share of the
-documents that lie nearest, step by step, and reweight once. A document whose Mahalanobis
+from a few deterministic starts around the medians, concentrate on the ``SUPPORT`` share of the
+documents that lie nearest, step by step until the determinant stops falling; of the starts the
+least determinant counts, and is reweighted once. With half as support, junk may be nearly half
+of a group and has no part in the estimate. A document whose Mahalanobis
 distance is beyond a chi-square quantile is rejected, as are documents that fail the base
 rules (too short, or mostly repeated).
 
@@ -32,7 +34,9 @@ from corpusloom.llm.common import bounded, per_text, split_words, stage
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-SUPPORT, STEPS, MIN_GROUP = 0.75, 4, 100
+SUPPORT, MIN_GROUP = 0.5, 100
+#: The logarithm of a determinant that falls by less has stopped falling (the cuts are approximate quantiles).
+STILL = 1e-3
 TAIL = 1e-5
 #: What a text of average make-up brings into each ratio, in characters or words, so that short texts have no wild ratios.
 PRIOR = 40.0
@@ -179,6 +183,9 @@ def _consistency(alpha: float, dims: int) -> float:
     return alpha / (1 - _above(chi_square_quantile(alpha, dims), dims + 2))
 
 
+_ESTIMATE = "cell string, start int, mean array<double>, precision array<double>, det double"
+
+
 def _distance(p: int) -> Column:
     """Squared Mahalanobis distance of array x by the arrays mean and precision (row by row)."""
     gap = [F.col("x")[i] - F.col("mean")[i] for i in range(p)]
@@ -191,27 +198,71 @@ def _distance(p: int) -> Column:
     return total
 
 
-def _estimates(vectors: DataFrame, near: Column, factor: float) -> DataFrame:
-    """Mean and inverse scatter per group of the vectors that are ``near``."""
+def _estimates(vectors: DataFrame, x: Column, factor: float, centred: bool = True) -> DataFrame:
+    """Mean, inverse scatter and logarithm of its determinant per group and start of the arrays ``x``.
+
+    ``centred`` is false for scatters around zero of vectors in units of ``mad`` from ``mean``.
+    """
     p, floor = len(STATISTICS), np.array(list(STATISTICS.values()))
-    sums = [F.sum(F.col("x")[i]) for i in range(p)]
-    products = [F.sum(F.col("x")[i] * F.col("x")[j]) for i in range(p) for j in range(i, p)]
-    moments = vectors.where(near).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("s"), F.array(*products).alias("ss"))
+    sums = [F.sum(x[i]) for i in range(p)]
+    products = [F.sum(x[i] * x[j]) for i in range(p) for j in range(i, p)]
+    middle = [F.first(c).alias(c) if not centred else F.first(F.array().cast("array<double>")).alias(c) for c in ("mean", "scale")]
+    moments = vectors.groupBy("cell", "start").agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("s"), F.array(*products).alias("ss"), *middle)
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = np.triu_indices(p)
         for frame in frames:
             rows = []
-            for cell, n, s, ss in frame.itertuples(index=False):
+            for cell, start, n, s, ss, middle, scale in frame.itertuples(index=False):
                 mean, scatter = np.array(s) / n, np.zeros((p, p))
                 scatter[at] = np.array(ss) / n
-                scatter = np.triu(scatter) + np.triu(scatter, 1).T - np.outer(mean, mean)
+                scatter = np.triu(scatter) + np.triu(scatter, 1).T
+                if centred:
+                    scatter -= np.outer(mean, mean)
+                else:  # the shape alone counts: its diagonal is that of the median deviations
+                    size = np.sqrt(np.maximum(np.diag(scatter), 1e-9))
+                    scatter, mean = scatter / np.outer(size, size) * np.outer(scale, scale), np.array(middle)
                 # what a statistic varies in itself comes on top, so that no direction is without scatter
-                precision = np.linalg.inv(scatter * factor + np.diag(floor ** 2))
-                rows.append((cell, mean.tolist(), precision.ravel().tolist()))
-            yield pd.DataFrame(rows, columns=["cell", "mean", "precision"])
+                scatter = scatter * factor + np.diag(floor ** 2)
+                rows.append((cell, start, mean.tolist(), np.linalg.inv(scatter).ravel().tolist(), np.linalg.slogdet(scatter)[1]))
+            yield pd.DataFrame(rows, columns=["cell", "start", "mean", "precision", "det"])
 
-    return stage(moments.mapInPandas(solve, "cell string, mean array<double>, precision array<double>"), "estimates")
+    return stage(moments.mapInPandas(solve, _ESTIMATE), "estimates")
+
+
+def _starts(vectors: DataFrame) -> DataFrame:
+    """Estimates to start from, around the medians: median deviations alone, and with the correlations of the signs and of bounded deviations."""
+    p, floors = len(STATISTICS), list(STATISTICS.values())
+    middles = vectors.groupBy("cell").agg(F.array(*(F.percentile_approx(F.col("x")[i], 0.5, 1000) for i in range(p))).alias("mean"))
+    middles = stage(middles, "medians")
+    spread = vectors.join(middles, "cell").groupBy("cell").agg(
+        F.array(*(F.percentile_approx(F.abs(F.col("x")[i] - F.col("mean")[i]), 0.5, 1000) for i in range(p))).alias("mad"))
+    scale = F.array(*(F.sqrt(F.pow(F.col("mad")[i] * 1.4826, 2) + floors[i] ** 2) for i in range(p)))
+    scaled = stage(middles.join(spread, "cell").select("cell", "mean", scale.alias("scale")), "scales")
+    z = F.array(*((F.col("x")[i] - F.col("mean")[i]) / F.col("scale")[i] for i in range(p)))
+    placed = vectors.join(scaled, "cell").select("cell", "mean", "scale", z.alias("z"))
+    length = F.greatest(F.sqrt(sum((F.col("z")[i] * F.col("z")[i] for i in range(p)), F.lit(0.0))), F.lit(1e-9))
+    kinds = [F.array(*(F.col("z")[i] / F.col("length") for i in range(p))), F.array(*(F.tanh(F.col("z")[i]) for i in range(p)))]
+    alone = F.array(*(F.lit(0.0) if i != j else 1 / F.pow(F.col("scale")[i], 2) for i in range(p) for j in range(p)))
+    plain = scaled.select("cell", F.lit(0).alias("start"), "mean", alone.alias("precision"), F.lit(math.inf).alias("det"))
+    others = placed.select("*", length.alias("length")).select("cell", "mean", "scale", F.posexplode(F.array(*kinds)).alias("start", "y")).withColumn("start", F.col("start") + 1)
+    shaped = _estimates(others, F.col("y"), 1.0, centred=False).withColumn("det", F.lit(math.inf))
+    return stage(plain.unionByName(shaped), "starts")
+
+
+def _concentrated(vectors: DataFrame, support: float) -> DataFrame:
+    """(cell, start, mean, precision) of the least determinant per cell, each start concentrated until its determinant stops falling."""
+    p = len(STATISTICS)
+    best = moving = _starts(vectors)
+    while not moving.isEmpty():
+        placed = vectors.join(moving, "cell").select("cell", "start", "x", _distance(p).alias("d"))
+        cut = placed.groupBy("cell", "start").agg(F.percentile_approx("d", support, 1000).alias("cut"))
+        near = placed.join(stage(cut, "cuts"), ["cell", "start"]).where(F.col("d") <= F.col("cut"))
+        found = _estimates(near, F.col("x"), _consistency(support, p))
+        moving = stage(found.join(best.select("cell", "start", F.col("det").alias("last")), ["cell", "start"]).where(F.col("det") < F.col("last") - STILL).drop("last"), "moving")
+        best = stage(best.join(moving, ["cell", "start"], "left_anti").unionByName(moving), "best")
+    least = best.groupBy("cell").agg(F.min(F.struct("det", "start", "mean", "precision")).alias("e"))
+    return least.select("cell", F.lit(0).alias("start"), "e.mean", "e.precision")
 
 
 def _cells(vectors: DataFrame, min_group: int) -> DataFrame:
@@ -234,7 +285,7 @@ def _cells(vectors: DataFrame, min_group: int) -> DataFrame:
     return vectors.withColumn("own", own).join(mapped, "own").drop("own")
 
 
-def judge(docs: DataFrame, support: float = SUPPORT, steps: int = STEPS, min_group: int = MIN_GROUP, tail: float = TAIL) -> DataFrame:
+def judge(docs: DataFrame, support: float = SUPPORT, min_group: int = MIN_GROUP, tail: float = TAIL) -> DataFrame:
     """Verdict per document (doc_id, lang, source, text).
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
@@ -248,19 +299,10 @@ def judge(docs: DataFrame, support: float = SUPPORT, steps: int = STEPS, min_gro
     usable = counted.where(~F.col("base_failed")).select("doc_id", "lang", "source", _vector().alias("x"))
     vectors = stage(_cells(usable, min_group).where(F.col("cell").isNotNull()).select("cell", "x"), "vectors")
 
-    middles = vectors.groupBy("cell").agg(F.array(*(F.percentile_approx(F.col("x")[i], 0.5, 1000) for i in range(p))).alias("mean"))
-    middles = stage(middles, "medians")
-    spread = vectors.join(middles, "cell").groupBy("cell").agg(
-        F.array(*(F.percentile_approx(F.abs(F.col("x")[i] - F.col("mean")[i]), 0.5, 1000) for i in range(p))).alias("mad"))
-    inverse = [F.lit(0.0) if i != j else 1 / (F.pow(F.col("mad")[i] * 1.4826, 2) + floor ** 2) for i, _ in enumerate(STATISTICS) for j, floor in enumerate(STATISTICS.values())]
-    found = stage(middles.join(spread, "cell").select("cell", "mean", F.array(*inverse).alias("precision")), "starts")
-    for _ in range(steps):
-        placed = vectors.join(found, "cell").select("cell", "x", _distance(p).alias("d"))
-        cut = placed.groupBy("cell").agg(F.percentile_approx("d", support, 1000).alias("cut"))
-        near = placed.join(stage(cut, "cuts"), "cell")
-        found = _estimates(near, F.col("d") <= F.col("cut"), _consistency(support, p))
-    placed = vectors.join(found, "cell").select("cell", "x", _distance(p).alias("d"))
-    found = _estimates(placed, F.col("d") <= chi_square_quantile(0.975, p), _consistency(0.975, p))
+    found = stage(_concentrated(vectors, support), "concentrated")
+    placed = vectors.join(found, "cell").select("cell", "start", "x", _distance(p).alias("d"))
+    near = placed.where(F.col("d") <= chi_square_quantile(0.975, p))
+    found = _estimates(near, F.col("x"), _consistency(0.975, p)).select("cell", "mean", "precision")
 
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     celled = _cells(counted.where(~F.col("base_failed")).select(*base, "lang", "source", _vector().alias("x")), min_group)

@@ -2,10 +2,8 @@
 
 import random
 
-import pytest
-
 import corpus_pipeline
-from corpusloom.llm import overlap
+from corpusloom.llm import outliers, overlap
 
 
 def five_words(text):
@@ -43,3 +41,15 @@ def test_near_dedup_keeps_rows_without_id(spark):
     found = sorted((tuple(r) for r in overlap.keep_one(docs).collect()), key=str)
     assert found == sorted([(1, "a b c d e f g"), (None, "h i j k l m n"), (5, "one two"), (5, "three four"), (6, None)], key=str)
     assert overlap.keep_one(docs.limit(0)).count() == 0
+
+
+def test_outliers_reject_a_third_of_junk_copies(spark):
+    rng = random.Random(22)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(3000)]
+    clean = [(i, "\n".join(" ".join(rng.choices(words, k=12)) + "." for _ in range(rng.randint(5, 20))), "en", "a") for i in range(600)]
+    junk = " ".join(rng.choice(words).upper() + rng.choice(["##", "$%", "!!"]) for _ in range(80))
+    rows = clean + [(1000 + i, junk, "en", "a") for i in range(300)]
+    found = outliers.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert not any(r.base_failed for r in found)
+    assert not any(r.kept for r in found if r.doc_id >= 1000)
+    assert sum(r.kept for r in found if r.doc_id < 1000) > 590
