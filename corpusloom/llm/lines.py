@@ -1,6 +1,6 @@
 """Line deduplication by a deletion-neighbourhood join.
 
-A line is its words. It is dropped if an earlier line, by (doc_id, line number) over the whole
+A line is its words. It is dropped if an earlier line, by (doc_id, row, line number) over the whole
 corpus, has the same words, or, for lines of ``NEAR_WORDS`` words or more, differs from it by
 one edit of a word (one word replaced, added or left out). Blank lines and lines of fewer than
 ``MIN_WORDS`` words always stay.
@@ -54,35 +54,43 @@ def _half_keys(words: list[bytes]) -> list[int]:
     return keys
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """doc_id as a number that is never null, and the text."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), "text")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with ``__of`` and ``__row``, which tell their rows apart: the id as a number that is never null, and a hash of the
+    text or, of rows without an id, their number. Only the latter rows are staged, so that the number holds."""
+    numbered = docs.withColumn("__of", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
+    without = stage(numbered.where(F.col("doc_id").isNull()).withColumn("__row", F.monotonically_increasing_id()), "rows-without-id")
+    return numbered.where(F.col("doc_id").isNotNull()).withColumn("__row", F.xxhash64("text")).unionByName(without)
 
 
-def line_table(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
-    """(doc_id, line, h1, h2, halves) of every line of enough words; halves are null below ``near_words``."""
-    schema = "doc_id long, line int, h1 long, h2 long, halves array<long>"
+def _numbered(keyed: DataFrame) -> DataFrame:
+    return keyed.select(F.col("__of").alias("doc_id"), F.col("__row").alias("row"), "text")
+
+
+def line_table(keyed: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
+    """(doc_id, row, line, h1, h2, halves) of every line of enough words; halves are null below ``near_words``."""
+    schema = "doc_id long, row long, line int, h1 long, h2 long, halves array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text"):
-            ids, numbers, one, two, halves = [], [], [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            ids, of_rows, numbers, one, two, halves = [], [], [], [], [], []
+            for doc_id, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text"))):
                 for number, line in enumerate((text or "").encode().split(b"\n")):
                     words = line.split()
                     if len(words) < min_words:
                         continue
                     joined = b" ".join(words)
                     ids.append(doc_id)
+                    of_rows.append(row)
                     numbers.append(number)
                     one.append(_hash(joined, 1))
                     two.append(_hash(joined, 2))
                     halves.append(_half_keys(words) if len(words) >= near_words else None)
             yield pa.RecordBatch.from_arrays([
-                pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(one, pa.int64()),
+                pa.array(ids, pa.int64()), pa.array(of_rows, pa.int64()), pa.array(numbers, pa.int32()), pa.array(one, pa.int64()),
                 pa.array(two, pa.int64()), pa.array(halves, pa.list_(pa.int64())),
-            ], names=["doc_id", "line", "h1", "h2", "halves"])
+            ], names=["doc_id", "row", "line", "h1", "h2", "halves"])
 
-    return _numbered(docs).mapInArrow(run, schema)
+    return _numbered(keyed).mapInArrow(run, schema)
 
 
 def variant_keys(words: list[bytes]) -> np.ndarray:
@@ -101,24 +109,24 @@ def variant_keys(words: list[bytes]) -> np.ndarray:
     return (keys ^ (keys >> np.uint64(32))) * _LENGTH
 
 
-def _line_variants(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Lines of docs at the places ``wanted`` (doc_id, lines), each (doc_id, line, words, variants): keys of the line
+def _line_variants(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Lines at the places ``wanted`` (doc_id, row, lines), each (doc_id, row, line, words, variants): keys of the line
     itself (place -1) and of the line without each of its words (place of the word)."""
-    schema = "doc_id long, line int, words string, places array<int>, keys array<long>"
+    schema = "doc_id long, row long, line int, words string, places array<int>, keys array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text", 1 << 20):
             rows: list[tuple] = []
-            for doc_id, text, lines in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lines"))):
+            for doc_id, row, text, lines in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text", "lines"))):
                 split = text.encode().split(b"\n")
                 for number in lines:
                     words = split[number].split()
-                    rows.append((doc_id, number, b" ".join(words).decode(), np.arange(-1, len(words), dtype=np.int32), variant_keys(words).view(np.int64)))
-            columns = list(zip(*rows)) if rows else [()] * 5
-            kinds = (pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "line", "words", "places", "keys"])
+                    rows.append((doc_id, row, number, b" ".join(words).decode(), np.arange(-1, len(words), dtype=np.int32), variant_keys(words).view(np.int64)))
+            columns = list(zip(*rows)) if rows else [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "row", "line", "words", "places", "keys"])
 
-    return _numbered(docs).join(wanted, "doc_id").mapInArrow(run, schema)
+    return _numbered(keyed).join(wanted, ["doc_id", "row"]).mapInArrow(run, schema)
 
 
 def one_edit_apart(a: str, b: str) -> bool:
@@ -135,51 +143,51 @@ def one_edit_apart(a: str, b: str) -> bool:
 
 
 def _place() -> Column:
-    return F.struct("doc_id", "line")
+    return F.struct("doc_id", "row", "line")
 
 
-def _near_lines(docs: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(doc_id, line) of first occurrences that have an earlier line within one edit."""
+def _near_lines(keyed: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(doc_id, row, line) of first occurrences that have an earlier line within one edit."""
     # h1 alone tells lines apart well enough here: a collision only makes one more candidate
     halves = lines.where(F.col("halves").isNotNull()).select("h1", F.explode("halves").alias("half"))
     met = halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where(F.col("low") != F.col("high")).select("half")
     candidates = halves.join(met, "half").select("h1").distinct()
-    wanted = firsts.join(candidates, "h1", "left_semi").groupBy("doc_id").agg(F.collect_list("line").alias("lines"))
-    found = stage(_line_variants(docs, wanted), "line-variants")
-    variants = found.select("doc_id", "line", F.explode(F.arrays_zip("places", "keys")).alias("v")).select("doc_id", "line", F.col("v.places").alias("place"), F.col("v.keys").alias("key"))
+    wanted = firsts.join(candidates, "h1", "left_semi").groupBy("doc_id", "row").agg(F.collect_list("line").alias("lines"))
+    found = stage(_line_variants(keyed, wanted), "line-variants")
+    variants = found.select("doc_id", "row", "line", F.explode(F.arrays_zip("places", "keys")).alias("v")).select("doc_id", "row", "line", F.col("v.places").alias("place"), F.col("v.keys").alias("key"))
     # replacements: equal without the word at one place
     replaced = variants.where("place >= 0").groupBy("key", "place").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    by_place = variants.join(replaced, ["key", "place"]).where(_place() != F.col("first")).select("doc_id", "line", "first")
+    by_place = variants.join(replaced, ["key", "place"]).where(_place() != F.col("first")).select("doc_id", "row", "line", "first")
     # additions: equal to another line without a word; either may be the earlier one
     sides = variants.groupBy("key").agg(
         F.min(F.when(F.col("place") < 0, _place())).alias("whole"), F.min(F.when(F.col("place") >= 0, _place())).alias("longer"),
     ).where(F.col("whole").isNotNull() & F.col("longer").isNotNull())
-    added = variants.join(sides, "key").select("doc_id", "line", F.when(F.col("place") < 0, F.col("longer")).otherwise(F.col("whole")).alias("first"))
-    earliest = by_place.unionByName(added.where(F.col("first") < _place())).groupBy("doc_id", "line").agg(F.min("first").alias("first"))
+    added = variants.join(sides, "key").select("doc_id", "row", "line", F.when(F.col("place") < 0, F.col("longer")).otherwise(F.col("whole")).alias("first"))
+    earliest = by_place.unionByName(added.where(F.col("first") < _place())).groupBy("doc_id", "row", "line").agg(F.min("first").alias("first"))
 
     # verify on the words
-    words = found.select("doc_id", "line", "words")
-    pairs = earliest.join(words, ["doc_id", "line"]).select("doc_id", "line", "words", F.col("first.doc_id").alias("of_doc"), F.col("first.line").alias("of_line"))
-    pairs = pairs.join(words.select(F.col("doc_id").alias("of_doc"), F.col("line").alias("of_line"), F.col("words").alias("of_words")), ["of_doc", "of_line"])
+    words = found.select("doc_id", "row", "line", "words")
+    pairs = earliest.join(words, ["doc_id", "row", "line"]).select("doc_id", "row", "line", "words", F.col("first.row").alias("of_row"), F.col("first.doc_id").alias("of_doc"), F.col("first.line").alias("of_line"))
+    pairs = pairs.join(words.select(F.col("doc_id").alias("of_doc"), F.col("row").alias("of_row"), F.col("line").alias("of_line"), F.col("words").alias("of_words")), ["of_doc", "of_row", "of_line"])
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             same = [one_edit_apart(a, b) for a, b in zip(frame["words"], frame["of_words"])]
-            yield frame.loc[same, ["doc_id", "line"]]
+            yield frame.loc[same, ["doc_id", "row", "line"]]
 
-    return pairs.select("doc_id", "line", "words", "of_words").mapInPandas(verify, "doc_id long, line int")
+    return pairs.select("doc_id", "row", "line", "words", "of_words").mapInPandas(verify, "doc_id long, row long, line int")
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
-    """(doc_id, exact, near): the numbers of the lines to drop of each document that has any."""
-    lines = stage(line_table(docs, min_words, near_words), "lines")
+def repeated_lines(keyed: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
+    """(doc_id, row, exact, near): the numbers of the lines to drop of each document of ``keyed`` that has any."""
+    lines = stage(line_table(keyed, min_words, near_words), "lines")
     grouped = stage(lines.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")), "distinct-lines")
-    firsts = grouped.select("h1", "h2", "first.doc_id", "first.line")
+    firsts = grouped.select("h1", "h2", "first.doc_id", "first.row", "first.line")
     several = grouped.where("n > 1").select("h1", "h2", "first")
-    exact = lines.select("doc_id", "line", "h1", "h2").join(several, ["h1", "h2"]).where(_place() != F.col("first")).select("doc_id", "line", F.lit(True).alias("exact"))
-    near = _near_lines(docs, lines, firsts).select("doc_id", "line", F.lit(False).alias("exact"))
+    exact = lines.select("doc_id", "row", "line", "h1", "h2").join(several, ["h1", "h2"]).where(_place() != F.col("first")).select("doc_id", "row", "line", F.lit(True).alias("exact"))
+    near = _near_lines(keyed, lines, firsts).select("doc_id", "row", "line", F.lit(False).alias("exact"))
     marked = exact.unionByName(near)
-    return marked.groupBy("doc_id").agg(
+    return marked.groupBy("doc_id", "row").agg(
         F.collect_list(F.when(F.col("exact"), F.col("line"))).alias("exact"), F.collect_list(F.when(~F.col("exact"), F.col("line"))).alias("near"))
 
 
@@ -189,13 +197,15 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = N
     ``text`` loses the dropped lines (the others stay as they are), n_lines counts the lines of
     the old text that have a word, and the two others those dropped as equal and as one edit
     apart. A document without repeats keeps its text; one that loses every line has an empty
-    text; a null text stays null. Rows that share a doc_id are one document: the same lines
-    go from each. A null doc_id comes after all others. No documents give no rows; other
+    text; a null text stays null. Rows of equal doc_id and text are one document: the same lines
+    go from each; other rows of one doc_id are documents of their own, by a hash of the text.
+    Rows without a doc_id are a document each and come after all others. No documents give no rows; other
     columns stay, but for those with one of the three names.
     """
     added = ("n_lines", "n_exact", "n_near")
     kept = [c for c in docs.columns if c not in added]
-    drops = repeated_lines(docs, min_words, near_words).select(F.col("doc_id").alias("__of"), F.col("exact").alias("__exact"), F.col("near").alias("__near"))
+    keyed = _keyed(docs.select(kept))
+    drops = repeated_lines(keyed, min_words, near_words).select(F.col("doc_id").alias("__of"), F.col("row").alias("__row"), F.col("exact").alias("__exact"), F.col("near").alias("__near"))
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(c, T.LongType()) for c in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,8 +221,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = N
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(c, pa.int64()) for c in counts], names=schema.names)
 
-    numbered = docs.select(*kept, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("__of"))
-    return numbered.join(drops, "__of", "left").drop("__of").mapInArrow(run, schema)
+    return keyed.join(drops, ["__of", "__row"], "left").drop("__of", "__row").mapInArrow(run, schema)
 
 
 def keep_new_text(docs: DataFrame, **options) -> DataFrame:

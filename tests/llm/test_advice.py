@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from corpusloom.llm import outliers, overlap
+from corpusloom.llm import lines, outliers, overlap
 
 
 def five_words(text):
@@ -53,3 +53,11 @@ def test_outliers_reject_a_third_of_junk_copies(spark):
     assert not any(r.base_failed for r in found)
     assert not any(r.kept for r in found if r.doc_id >= 1000)
     assert sum(r.kept for r in found if r.doc_id < 1000) > 590
+
+
+def test_lines_of_rows_without_or_of_one_id(spark):
+    one, two, three = "a b c d", "e f g h", "one two three four five six seven eight nine"
+    rows = [(1, f"{one}\n{two}"), (None, one), (None, f"i j k l\nm n o p\n{three}"), (None, None), (None, three.replace("five", "5")), (None, "u v w"), (None, "u v w"), (7, f"q r s t\n{two}"), (7, "x y z a\nb c d e")]
+    found = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    want = [(1, f"{one}\n{two}"), (None, ""), (None, f"i j k l\nm n o p\n{three}"), (None, None), (None, ""), (None, "u v w"), (None, ""), (7, "q r s t"), (7, "x y z a\nb c d e")]
+    assert sorted(((r.doc_id, r.text) for r in found), key=str) == sorted(want, key=str)
