@@ -1,11 +1,11 @@
 """Sharding by sampled splitters: shards of near equal bytes over ranges of a text key.
 
-1. A narrow table (id, size, key) is written once; the key is a hash of the text, so equal
-   texts are neighbours.
+1. A narrow table (id, size, key, row number) is written once; the key is a hash of the text,
+   so equal texts are neighbours.
 2. Keys are sampled with a chance in proportion to their bytes and their weighted quantiles
    are the splitters of many more ranges than shards. The sample is bounded by a parameter
    and aggregated by key, so a text with millions of copies is one row of it.
-3. A key that fills ranges by itself gets a run of ranges, dealt by id; ranges that turn out
+3. A key that fills ranges by itself gets a run of ranges, dealt by row number; ranges that turn out
    overfull are subdivided into equal parts of their key interval.
 4. The exact bytes before each range and a running sum within it place every row on the byte
    line, which is cut into equal shards. A group of equal texts lies where it begins, so it
@@ -38,7 +38,7 @@ def _splitters(rows: DataFrame, n_ranges: int, samples: int, total: int, seed: i
     About ``samples`` keys come to the driver, whatever the number of rows.
     """
     chance = F.least(F.lit(1.0), F.col("size") * F.lit(samples / total))
-    drawn = (F.pmod(F.xxhash64("doc_id", "key", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)) < chance
+    drawn = (F.pmod(F.xxhash64("row", "key", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)) < chance
     sample = rows.where(drawn).groupBy("key").agg(F.sum(F.col("size") / chance).alias("weight")).toPandas().sort_values("key")
     keys, upto = sample["key"].to_numpy(), np.cumsum(sample["weight"].to_numpy())
     if not len(keys):
@@ -54,7 +54,7 @@ def _splitters(rows: DataFrame, n_ranges: int, samples: int, total: int, seed: i
 
 
 def _ranged(rows: DataFrame, starts: np.ndarray, deals: np.ndarray, parts: np.ndarray) -> DataFrame:
-    """Adds ``range`` and ``heavy`` to the rows: the range by key, its deal by id, or its part by key."""
+    """Adds ``range`` and ``heavy`` to the rows: the range by key, its deal by row number, or its part by key."""
     pieces = deals * parts
     first = np.cumsum(pieces) - pieces
     low = np.concatenate([[np.iinfo(np.int64).min], starts]).astype(np.float64)
@@ -68,7 +68,7 @@ def _ranged(rows: DataFrame, starts: np.ndarray, deals: np.ndarray, parts: np.nd
             within = np.where(deals[i] > 1, deal % pieces[i], np.minimum((share * parts[i]).astype(np.int64), parts[i] - 1))
             yield frame.drop(columns="deal").assign(range=first[i] + within, base=i, heavy=deals[i] > 1)
 
-    dealt = rows.select("*", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)).alias("deal"))
+    dealt = rows.select("*", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(1 << 30)).alias("deal"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", range long, base long, heavy boolean"
     return dealt.mapInPandas(place, schema)
 
@@ -84,6 +84,7 @@ def assign_shards(
     text = F.coalesce("text", F.lit(""))
     rows = stage(docs.select(
         "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key"),
+        F.monotonically_increasing_id().alias("row"),  # tells repeated rows apart, staged so that it holds
     ), "shard-keys")
     total = rows.agg(F.sum("size")).first()[0] or 1
     n_ranges = shards * ranges_per_shard

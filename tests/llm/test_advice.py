@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from corpusloom.llm import lines, outliers, overlap
+from corpusloom.llm import lines, outliers, overlap, sharding
 
 
 def five_words(text):
@@ -61,3 +61,12 @@ def test_lines_of_rows_without_or_of_one_id(spark):
     found = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
     want = [(1, f"{one}\n{two}"), (None, ""), (None, f"i j k l\nm n o p\n{three}"), (None, None), (None, ""), (None, "u v w"), (None, ""), (7, "q r s t"), (7, "x y z a\nb c d e")]
     assert sorted(((r.doc_id, r.text) for r in found), key=str) == sorted(want, key=str)
+
+
+def test_shards_of_repeated_rows_are_near_equal(spark):
+    rows = [(None, "same " * 20)] * 2000 + [(i, f"text {i} " * 12) for i in range(4000)]
+    size = {}
+    for r in sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), ranges_per_shard=8).collect():
+        size[r.shard] = size.get(r.shard, 0) + r["size"]
+    mean = sum(size.values()) / 24
+    assert len(size) == 24 and max(size.values()) < 1.1 * mean and min(size.values()) > 0.9 * mean
