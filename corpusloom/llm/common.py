@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import stage
 
-__all__ = ["BLANKS", "count_words", "words_of", "stage", "table", "bounded", "split_words", "per_text", "ranges"]
+__all__ = ["BLANKS", "count_words", "words_of", "stage", "table", "bounded", "split_words", "per_text", "ranges", "byte_classes", "BLANK_BYTES", "ByteWords"]
 
 BLANKS = "[\\x20\\x09-\\x0D]+"
 _BLANK_CHARS = " \t\n\x0b\x0c\r"
@@ -74,3 +74,49 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     if not len(ends) or not ends[-1]:
         return np.zeros(0, np.int64)
     return np.arange(ends[-1]) - np.repeat(ends - lengths - starts, lengths)
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def byte_classes(members: bytes) -> np.ndarray:
+    """256 flags: the bytes that are in ``members``."""
+    flags = np.zeros(256, bool)
+    flags[np.frombuffer(members, np.uint8)] = True
+    return flags
+
+
+#: the bytes that are no part of a word of this subpackage: ASCII white space
+BLANK_BYTES = byte_classes(_BLANK_CHARS.encode())
+
+
+class ByteWords:
+    """The words of a batch of texts, cut where a byte is flagged in ``gaps``; null texts have none.
+
+    ``words`` holds all words in order, ``offsets[i]:offsets[i + 1]`` are those of text i and
+    ``data`` the bytes of all texts, lower-cased (A-Z only) if asked. Bytes from 0x80 on are never gaps, so characters stay whole.
+    """
+
+    def __init__(self, texts: pa.Array, gaps: np.ndarray = BLANK_BYTES, lower: bool = False):
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        raw = texts.buffers()[2]
+        data = np.frombuffer(raw, np.uint8)[edges[0]:edges[-1]] if raw is not None and len(edges) and edges[-1] > edges[0] else np.zeros(0, np.uint8)
+        edges = edges - edges[0]
+        self.data = _LOWER[data] if lower else data
+        inside = ~gaps[self.data]
+        first = np.zeros(len(data) + 1, bool)  # whether a text begins at this byte
+        first[edges] = True
+        begins, ends = inside.copy(), inside.copy()
+        begins[1:] &= ~inside[:-1] | first[1:-1]
+        ends[:-1] &= ~inside[1:] | first[1:-1]
+        self.starts, self.stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        at = np.concatenate([[0], np.cumsum(self.stops - self.starts)])
+        self.words = pa.LargeStringArray.from_buffers(len(self.starts), pa.py_buffer(at), pa.py_buffer(self.data[inside]))
+        self.offsets = np.searchsorted(self.starts, edges)
+
+    def coded(self) -> tuple[np.ndarray, pa.Array]:
+        """A number per word, and the distinct words by number."""
+        coded = self.words.dictionary_encode()
+        return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, chat, licenses, lines, mixing, neighbours, outliers, sharding, simhash, toxicity
+from corpusloom.llm import bpe, chat, collocations, licenses, lines, mixing, neighbours, outliers, periods, postings, sharding, simhash, toxicity
 from corpusloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,19 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(turns.unionByName(hostile))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = postings.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_weak_toxicity": op1_weak_toxicity,
     "op2_simhash_trie": op2_simhash_trie,
@@ -79,6 +92,9 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_sampled_splitters": op10_sampled_splitters,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_decontamination": op12_decontamination,
+    "op13_collocations": op13_collocations,
 }
 
 def _quoted(text: str) -> str:
@@ -193,5 +209,49 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE trained), '')) AS loss_sha256,
   CAST(sum(8 + len(role) + 1 + body + 7 + 1) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
+""",
+    "op12_decontamination": r"""
+WITH said AS (
+  SELECT 'd' AS kind, doc_id AS id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT 'b', item_id, row_number() OVER (), regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), asked AS (
+  SELECT DISTINCT id AS item_id, least(10, len(w)) AS width, unnest([array_to_string(w[p:p + least(10, len(w)) - 1], ' ') for p in range(1, len(w) - least(10, len(w)) + 2)]) AS win FROM said WHERE kind = 'b' AND len(w) > 0
+), held AS (
+  SELECT r, s.width, unnest(range(1, len(w) - s.width + 2)) AS p, unnest([array_to_string(w[p:p + s.width - 1], ' ') for p in range(1, len(w) - s.width + 2)]) AS win
+  FROM said, (SELECT DISTINCT width FROM asked) s WHERE kind = 'd'
+), met AS (
+  SELECT r, item_id, p, h.width FROM held h JOIN asked a ON h.win = a.win AND h.width = a.width
+), hits AS (
+  SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + width)) AS q FROM met) GROUP BY r
+), named AS (
+  SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM met GROUP BY r
+)
+SELECT id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM said LEFT JOIN hits ON said.r = hits.r LEFT JOIN named ON said.r = named.r WHERE kind = 'd'
+""",
+    "op13_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), said AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM said GROUP BY lang
+), grams AS (
+  SELECT lang, k, unnest([array_to_string(w[p:p + k - 1], ' ') for p in range(1, len(w) - k + 2)]) AS phrase FROM said, range(1, 6) v(k) WHERE len(w) >= k
+), counts AS (
+  SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100
+), cuts AS (
+  SELECT *, unnest(range(1, k)) AS cut, string_split(phrase, ' ') AS w FROM counts WHERE k > 1
+), scored AS (
+  SELECT c.lang, c.phrase, c.k, c.f AS a, x.f AS l, y.f AS r, t.n, 1000 * c.f * t.n // (x.f * y.f) AS score, cut
+  FROM cuts c JOIN counts x ON c.lang = x.lang AND x.phrase = array_to_string(w[:cut], ' ') JOIN counts y ON c.lang = y.lang AND y.phrase = array_to_string(w[cut + 1:], ' ') JOIN totals t ON c.lang = t.lang
+), worst AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), kept AS (
+  SELECT * FROM worst s WHERE NOT EXISTS (SELECT 1 FROM counts c WHERE c.lang = s.lang AND c.k > s.k AND c.f = s.a AND contains(' ' || c.phrase || ' ', ' ' || s.phrase || ' '))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY rank <= 2000
 """,
 }
