@@ -3,8 +3,8 @@
 1. toxicity: documents predicted toxic go; the labels of ``labels`` that aren't held out teach it.
 2. line dedup: lines that an earlier line repeats or nearly repeats go, and documents that
    are nothing else.
-3. near-dedup: of documents linked by a similarity of 0.8 or more on five words one stays, the
-   one of the smallest doc_id.
+3. near-dedup: of documents linked by fingerprints of four-word shingles that differ in four bits or
+   fewer, as the operator has them, one stays, the one of the smallest doc_id.
 4. mixing: documents are repeated, kept once, cut or left out so that sources meet their targets.
 5. byte-level BPE: texts become ids, with the byte at which each token ends.
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe, lines, mixing, overlap, toxicity
+from corpusloom.llm import bpe, lines, mixing, simhash, toxicity
 from corpusloom.llm.common import stage, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -33,7 +33,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return overlap.keep_one(docs)
+    return simhash.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
