@@ -6,10 +6,10 @@ that begin with a phrase is its count, and one Spark ROLLUP over the window colu
 of all phrases of all lengths, in place of one explosion per length.
 
 Most windows of a text are like no other, and a phrase below ``least`` occurrences is asked for by nobody. So
-a first pass adds up hashed counts of words and of neighbouring words in a fixed number of cells;
-a cell below ``least`` holds no frequent word or pair, and a window is padded from there on as at the
-end of a piece. A phrase of ``least`` occurrences or more holds frequent pairs only, and so do its
-parts: their counts stay exact, whatever cells share.
+a first pass counts hashed words and pairs of neighbouring words, and those of ``least`` or more set bits of
+a fixed bitmap; a window is padded from the first word or pair without its bit on, as at the
+end of a piece. A phrase of ``least`` occurrences holds frequent pairs only, and so do its
+parts: their counts stay exact, whatever hashes share a bit.
 
 Leads are taken by position from the split text, since a window function would shuffle every word.
 """
@@ -24,11 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import ByteWords, bounded, byte_classes, stage
+from corpusloom.llm.common import ByteWords, bounded, byte_classes, flagged, packed_bits, stage
 
 LONGEST, LEAST, TOP = 5, 100, 2000
-#: Cells of hashed counts, and in how many slices they are added up.
-CELLS, SLICES = 1 << 24, 256
+#: Bits of the bitmap of frequent words and pairs.
+BITS = 1 << 26
+_MOST = 1 << 20  # bytes of text of a batch
 _PIECE_ENDS = byte_classes(b".,;:!?\n\x0b\x0c\r")
 _GAPS = _PIECE_ENDS | byte_classes(b" \t")
 _UNKNOWN = "und"
@@ -44,7 +45,7 @@ def _mixed(values: np.ndarray) -> np.ndarray:
 class _Batch:
     """The words of a batch: numbered, hashed with their language, and whether the next word is in the same piece."""
 
-    def __init__(self, batch: pa.RecordBatch, cells: int):
+    def __init__(self, batch: pa.RecordBatch):
         split = ByteWords(batch.column("text"), _GAPS, lower=True)
         self.index, self.words = split.coded()
         langs = batch.column("lang").dictionary_encode()
@@ -58,62 +59,30 @@ class _Batch:
         of_words = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in self.words.to_pylist()), np.uint64, len(self.words))
         of_langs = np.fromiter((xxhash.xxh3_64_intdigest(x.encode(), 1) for x in self.langs), np.uint64, len(self.langs))
         hashes = of_words[self.index] + (of_langs[self.lang] if len(self.lang) else np.zeros(0, np.uint64))
-        self.one, self.two = ((x >> np.uint64(20)).astype(np.int64) & (cells - 1) for x in (_mixed(hashes), _mixed(hashes[:-1] * _A + _mixed(hashes[1:]))))
+        self.one, self.two = _mixed(hashes), _mixed(hashes[:-1] * _A + _mixed(hashes[1:]))
 
 
 def _read(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(_UNKNOWN)).alias("lang"), "text")
 
 
-def frequent_cells(docs: DataFrame, least: int = LEAST, n_cells: int = CELLS) -> tuple[bytes, DataFrame]:
-    """A packed bitmap of the cells that ``least`` words or pairs or more fall into, and the number of words of each language (lang, n).
-
-    Each task adds up the cells of all its texts and hands on a slice at a time, counts cut off at ``least``.
-    The driver receives ``n_cells`` (a power of two) bits.
-    """
-    kind = next(np.dtype(k) for k in (np.uint8, np.uint16, np.uint32) if least <= np.iinfo(k).max)
-
+def frequent_bits(docs: DataFrame, least: int = LEAST, n_bits: int = BITS) -> tuple[bytes, DataFrame]:
+    """A packed bitmap with the bits of the hashed words and pairs that occur ``least`` times or more, and the number of
+    words of each language (lang, n). The driver receives ``n_bits`` (a power of two), however many there are."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(n_cells, np.uint32)
-        words: dict[str, int] = {}
-        for batch in bounded(batches, "text"):
-            of = _Batch(batch, n_cells)
-            np.add.at(cells, of.one, np.uint32(1))
-            np.add.at(cells, of.two[of.leads[:-1]], np.uint32(1))
-            for lang, n in zip(of.langs, np.bincount(of.lang, minlength=len(of.langs)).tolist()):
-                words[lang] = words.get(lang, 0) + n
-        for i, part in enumerate(np.split(np.minimum(cells, least).astype(kind), SLICES)):
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()]), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64())], names=["slice", "counts", "lang", "n"])
-        if words:
+        for batch in bounded(batches, "text", _MOST):
+            of = _Batch(batch)
+            hashes, n = np.unique(np.concatenate([of.one, of.two[of.leads[:-1]]]), return_counts=True)
+            words = np.bincount(of.lang, minlength=len(of.langs))
             yield pa.RecordBatch.from_arrays([
-                pa.nulls(len(words), pa.int32()), pa.nulls(len(words), pa.binary()), pa.array(list(words)), pa.array(list(words.values()), pa.int64())], names=["slice", "counts", "lang", "n"])
-
-    counted = stage(_read(docs).mapInArrow(count, "slice int, counts binary, lang string, n long"), "hashed-counts")
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sums = None, np.zeros(n_cells // SLICES, np.int64)
-
-        def flags() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(sums >= least, bitorder="little").tobytes()])], names=["slice", "bits"])
-
-        for batch in batches:
-            for i, part in zip(batch.column("slice").to_pylist(), batch.column("counts")):
-                if i != now:
-                    if now is not None:
-                        yield flags()
-                    now, sums = i, np.zeros(n_cells // SLICES, np.int64)
-                sums += np.frombuffer(part.as_buffer(), kind)
-        if now is not None:
-            yield flags()
+                pa.concat_arrays([pa.nulls(len(hashes), pa.string()), pa.array(of.langs, pa.string())]),
+                pa.concat_arrays([pa.array(hashes.view(np.int64)), pa.nulls(len(words), pa.int64())]),
+                pa.array(np.concatenate([n, words]).astype(np.int64)),
+            ], names=["lang", "hash", "n"])
 
-    sliced = counted.where("slice is not null").select("slice", "counts").repartition("slice").sortWithinPartitions("slice")
-    bits = bytearray(n_cells // 8)
-    width = n_cells // SLICES // 8
-    for row in sliced.mapInArrow(add, "slice int, bits binary").collect():
-        bits[row["slice"] * width:(row["slice"] + 1) * width] = row["bits"]
-    totals = counted.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n"))
-    return bytes(bits), totals
+    counted = _read(docs).mapInArrow(count, "lang string, hash long, n long").groupBy("lang", "hash").agg(F.sum("n").alias("n"))
+    counted = stage(counted.where(F.col("hash").isNull() | (F.col("n") >= least)), "frequent-hashes")
+    return packed_bits(counted.where("hash is not null"), "hash", n_bits), counted.where("hash is null").select("lang", "n")
 
 
 def _columns(longest: int) -> list[str]:
@@ -125,14 +94,14 @@ def windows(docs: DataFrame, bits: bytes, longest: int = LONGEST) -> DataFrame:
     columns = _columns(longest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").view(bool)
-        for batch in bounded(batches, "text"):
-            of = _Batch(batch, len(flags))
+        packed = np.frombuffer(bits, np.uint8)
+        for batch in bounded(batches, "text", _MOST):
+            of = _Batch(batch)
             if not len(of.index):
                 continue
             pad = len(of.words)
-            leads = np.append(flags[of.two] & of.leads[:-1], False)
-            at = np.flatnonzero(flags[of.one])
+            leads = np.append(flagged(packed, of.two) & of.leads[:-1], False)
+            at = np.flatnonzero(flagged(packed, of.one))
             # numbered tuples: the language and first word, then one more column at a time
             rows = np.full((len(at), longest), pad, np.int64)
             alive = np.arange(len(at))
@@ -165,7 +134,7 @@ def phrase_counts(docs: DataFrame, bits: bytes, least: int = LEAST, longest: int
     return rolled.select("lang", words.alias("words"), "f").where(F.element_at("words", -1) != _PAD)
 
 
-def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int | None = TOP, absorbed: int = 100, n_cells: int = CELLS) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int | None = TOP, absorbed: int = 100, n_bits: int = BITS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` (or all) phrases of 2 to ``longest`` words of each language of docs (text, lang).
 
     Words are lower-cased (A-Z) and parted by spaces and tabs, pieces by ``. , ; : ! ?`` and line ends.
@@ -177,7 +146,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     A null lang is ``und``; null and empty texts have no words; repeated rows count each; texts may be of any length. No
     documents give no rows; other columns are ignored. Products are decimals of 38 digits.
     """
-    bits, totals = frequent_cells(docs, least, n_cells)
+    bits, totals = frequent_bits(docs, least, n_bits)
     counts = phrase_counts(docs, bits, least, longest)
     joined = F.array_join("words", " ")
     counts = stage(counts.select("lang", joined.alias("phrase"), "words", "f"), "phrase-counts")

