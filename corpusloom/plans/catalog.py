@@ -15,12 +15,12 @@ from pyspark.sql import types as T
 from corpusloom.functions import markup, numbers, text
 from corpusloom.functions.stemming import stem
 from corpusloom.operators import (
-    documents, expand, extract, increment, lookup, modelling, search, store, suggest, topics,
+    documents, expand, extract, frequency, increment, lookup, modelling, search, store, suggest, topics,
 )
 from corpusloom.plans import bindings as given
 from corpusloom.schema import INDEX_DOCUMENT
 from corpusloom.session import stage, staged_path
-from corpusloom.sources import index_store, marks, readers, ris, writers
+from corpusloom.sources import index_store, marks, postings_store, readers, ris, writers
 from corpusloom.streaming import sync
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -714,6 +714,50 @@ def q6_search_titles(spark, sf):
     return search.search(index, expand.request_clauses(given.title_requests(spark, sf), terms))
 
 
+def _kept_index(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, str]:
+    """An index with kept postings after an upload, an update of the English articles and a removal: its documents, postings, topic terms and the postings' place."""
+    index, places = staged_path(spark, "index"), staged_path(spark, "kept-postings")
+    terms = given.topic_terms(spark, sf)
+    rows = given.articles(spark, sf)
+    index_store.load_index(given.enriched_articles(spark, sf, terms, "left"), index, "upload", 0)
+    index_store.load_index(given.later_copies(given.stored_articles(rows)), index, "update", 0)
+    for writer in ("upload", "update"):
+        postings_store.add_postings(index_store.one_load(spark, index, writer, 0), places, writer, 0)
+    index_store.remove_documents(rows.where(F.col("id").cast("bigint") % 7 == 3), index, "remove", 0)
+    docs = index_store.read_index(spark, index, keep_topics=True, with_load=True)
+    return docs, postings_store.read_postings(spark, places), terms, places
+
+
+@query
+def q6_kept_postings(spark, sf):
+    """Search over postings that are kept through an update and a removal; no text is read."""
+    docs, kept, terms, _ = _kept_index(spark, sf)
+    return search.search(docs.drop("fulltext"), expand.request_clauses(given.term_requests(terms), terms), kept=kept)
+
+
+@query
+def q2_near_matches(spark, sf):
+    """Near clauses of two and three words of each benchmark passage, over kept postings."""
+    docs, kept, _, _ = _kept_index(spark, sf)
+    said = given.passage_requests(spark, sf).select("request_id", "request", text.words(F.col("request")).alias("w"))
+    clause = lambda first, n: F.array_join(F.slice("w", first, n), " ")
+    none = F.array().cast("array<string>").alias("topics")
+    two = said.select((F.col("request_id") * 2).alias("request_id"), "request", F.array(clause(1, 2)).alias("words"), none)
+    three = said.select((F.col("request_id") * 2 + 1).alias("request_id"), "request", F.array(clause(1, 3), clause(4, 1)).alias("words"), none)
+    prepared = search.PreparedSearch(docs.drop("fulltext"), two.unionByName(three), kept=kept, distance=search.NEAR_DISTANCE)
+    return prepared.per_request(prepared.top(search.RESULT_SIZE)).select("request_id", "id", "score", "order")
+
+
+@query
+def q5_frequency_top(spark, sf):
+    """The best documents by term frequency, over kept postings, with bounds."""
+    docs, kept, terms, places = _kept_index(spark, sf)
+    prepared = search.PreparedSearch(docs.drop("fulltext"), expand.request_clauses(given.term_requests(terms), terms), kept=kept)
+    lengths = postings_store.settled(postings_store.read_lengths(spark, places), prepared.narrow)
+    ranking = frequency.FrequencyRanking(prepared, frequency.frequency_weights(prepared.found, lengths))
+    return prepared.per_request(ranking.top()).select("request_id", "id", "score", "order")
+
+
 # --- streaming ---------------------------------------------------------------------------
 
 

@@ -22,16 +22,16 @@ from corpusloom.operators.store import rejected_items, typed_items, valid_items
 from corpusloom.operators.suggest import suggest
 from corpusloom.operators.topics import topic_bags
 from corpusloom.session import stage, staging
-from corpusloom.sources import index_store, marks, readers, writers
+from corpusloom.sources import index_store, marks, postings_store, readers, writers
 
 TOPIC_MARK = "topics"
 UPDATE_MARK = "update"
-UPLOAD_WRITER, UPDATE_WRITER = "upload", "update"
+UPLOAD_WRITER, UPDATE_WRITER, REMOVE_WRITER = "upload", "update", "remove"
 
 
 @dataclass(frozen=True)
 class Places:
-    """Where the tables of a corpus live."""
+    """Where the tables of a corpus live. With ``postings`` the words of each index load are kept for all searches."""
 
     articles: str
     corpus: str
@@ -39,6 +39,7 @@ class Places:
     doc_topics: str
     index: str
     marks: str
+    postings: str | None = None
 
 
 def ingest(items: DataFrame, places: Places, create: bool = False) -> DataFrame:
@@ -79,10 +80,21 @@ def upload_documents(spark: SparkSession, places: Places, batches: str, how: str
     bags = topic_bags(readers.read_doc_topics(spark, _of_version(places.doc_topics, version)))
     articles = readers.read_articles(spark, places.articles)
     enriched = enrich(articles, bags, how).withColumn("model_version", F.lit(str(version)))
-    number = marks.run_stamp()
-    index_store.load_index(enriched, places.index, UPLOAD_WRITER, number)
-    loaded = index_store.loads(spark, places.index).where((F.col("writer") == UPLOAD_WRITER) & (F.col("number") == number))
-    writers.write_index_batches(loaded, batches, with_topics=True)
+    writers.write_index_batches(_load(enriched, places, UPLOAD_WRITER, marks.run_stamp()), batches, with_topics=True)
+
+
+def _load(docs: DataFrame, places: Places, writer: str, number: int) -> DataFrame:
+    """A load of the index and, where they are kept, of its postings; returns the load as written."""
+    index_store.load_index(docs, places.index, writer, number)
+    loaded = index_store.one_load(docs.sparkSession, places.index, writer, number)
+    if places.postings:
+        postings_store.add_postings(loaded, places.postings, writer, number)
+    return loaded
+
+
+def remove_documents(ids: DataFrame, places: Places) -> None:
+    """Take documents out of the index by ``id``; their postings are no longer settled on."""
+    index_store.remove_documents(ids, places.index, REMOVE_WRITER, marks.run_stamp())
 
 
 def update_index(spark: SparkSession, places: Places, batches: str, now: int | None = None) -> None:
@@ -91,7 +103,7 @@ def update_index(spark: SparkSession, places: Places, batches: str, now: int | N
     mark = marks.get_mark(spark, places.marks, UPDATE_MARK)
     fresh = increment(readers.read_articles(spark, places.articles), mark, now)
     writers.write_index_batches(fresh, batches)
-    index_store.load_index(fresh, places.index, UPDATE_WRITER, now)
+    _load(fresh, places, UPDATE_WRITER, now)
     marks.set_mark(spark, places.marks, UPDATE_MARK, now)
 
 
@@ -104,7 +116,7 @@ def topic_terms(spark: SparkSession, places: Places) -> DataFrame:
 def current_index(spark: SparkSession, places: Places) -> DataFrame:
     """The index as the current topics see it: topics of another version than theirs are left out."""
     version = str(marks.get_mark(spark, places.marks, TOPIC_MARK))
-    index = index_store.read_index(spark, places.index, keep_topics=True)
+    index = index_store.read_index(spark, places.index, keep_topics=True, with_load=True)
     return index.withColumn("topics", F.when(F.col("model_version") == version, F.col("topics")))
 
 
@@ -115,7 +127,8 @@ def run_searches(requests: DataFrame, places: Places, queries: str, hits: str) -
         terms = stage(topic_terms(spark, places), "topic-terms")
         expanded = expand(requests, terms).repartition("request_id").sortWithinPartitions("request_id")
         writers.write_queries(expanded, queries)
-        writers.write_hits(search(current_index(spark, places), request_clauses(requests, terms)), hits)
+        kept = postings_store.read_postings(spark, places.postings) if places.postings else None
+        writers.write_hits(search(current_index(spark, places), request_clauses(requests, terms), kept=kept), hits)
 
 
 def suggest_terms(requests: DataFrame, places: Places, **options) -> DataFrame:

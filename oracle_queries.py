@@ -257,6 +257,45 @@ LABEL_TEXT = decoded(f"array_to_string({LABELS}, '|')")
 ITEMS = r"""SELECT d.doc_id, CAST(l.doc_id AS VARCHAR) AS id, CASE WHEN len(regexp_extract(text, '^[^.\n]*')) BETWEEN 1 AND 60 THEN regexp_extract(text, '^[^.\n]*') END AS title
     FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
 
+def _words(value: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({value}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+
+
+# the index after an update of the English articles and a removal
+GONE = "CAST(id AS BIGINT) % 7 = 3"
+SETTLED = {
+    "art": f"""SELECT * REPLACE (abstract || CASE WHEN article_type = 'en' THEN ' (edited)' ELSE '' END AS abstract)
+        FROM ({PARTS['art']}) WHERE NOT ({GONE})""",
+    "bag": f"SELECT * FROM ({PARTS['bag']}) WHERE NOT ({GONE})",
+    # places of words by field
+    "spot": " UNION ALL ".join(f"SELECT id, {i} AS field, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT id, {_words(f)} AS w FROM art)"
+                             for i, f in enumerate(("title", "abstract", "fulltext"))),
+    # near clauses: two words of a passage; three and one
+    "asked": r"""SELECT request_id, unnest(words) AS clause FROM (
+        SELECT item_id * 2 + k AS request_id, CASE WHEN k = 0 THEN [array_to_string(w[1:2], ' ')] ELSE [array_to_string(w[1:3], ' '), w[4]] END AS words
+        FROM (SELECT item_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM benchmark), range(2) r(k))""",
+    "unit": f"""SELECT request_id, u, count(*) AS n FROM (SELECT request_id, list_sort(list_distinct({_words('clause')})) AS u FROM asked)
+        WHERE len(u) > 0 GROUP BY ALL""",
+    "occurs": "SELECT u, id, field, pos, word FROM (SELECT DISTINCT u, unnest(u) AS word FROM unit) JOIN spot USING (word)",
+    "holds": """SELECT DISTINCT u, id FROM (SELECT a.u, a.id, a.field, a.pos FROM occurs a JOIN occurs b
+        ON a.u = b.u AND a.id = b.id AND a.field = b.field AND b.pos BETWEEN a.pos AND a.pos + len(a.u) - 1 + 3
+        GROUP BY a.u, a.id, a.field, a.pos HAVING count(DISTINCT b.word) = len(a.u))""",
+    "unit_score": """SELECT request_id, count(*) AS n_units, 2 * sum(n * ln(1 + ((SELECT count(*) FROM art) - coalesce(c, 0) + 0.5) / (coalesce(c, 0) + 0.5))) AS score
+        FROM unit LEFT JOIN (SELECT u, count(*) AS c FROM holds GROUP BY u) USING (u) GROUP BY request_id""",
+    "near_hit": """SELECT request_id, id, round(any_value(score), 6) AS score FROM unit JOIN holds USING (u) JOIN unit_score USING (request_id)
+        GROUP BY request_id, id HAVING count(*) = any_value(n_units)""",
+    # saturating weights of words by field
+    "sizes": f"SELECT id, {', '.join(f'coalesce(len({_words(f)}), 0) AS {f}' for f in ('title', 'abstract', 'fulltext'))} FROM art",
+    "tf": """SELECT word, id, sum(boost * c / (0.25 + 0.75 * size / mean)) AS tf FROM (
+            SELECT word, id, field, count(*) AS c FROM spot GROUP BY ALL)
+        JOIN (SELECT id, 0 AS field, 3.0 AS boost, title AS size, (SELECT avg(title) FROM sizes) AS mean FROM sizes
+            UNION ALL SELECT id, 1, 1.5, abstract, (SELECT avg(abstract) FROM sizes) FROM sizes
+            UNION ALL SELECT id, 2, 1.0, fulltext, (SELECT avg(fulltext) FROM sizes) FROM sizes) USING (id, field) GROUP BY word, id""",
+    "freq": """SELECT request_id, id, round(any_value(coalesce(topic_score, 0)) + 2 * sum(n * ln(1 + ((SELECT count(*) FROM art) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2)), 6) AS score
+        FROM allw JOIN qw USING (request_id) JOIN df USING (word) JOIN tf USING (word, id) LEFT JOIN tsc USING (request_id, id) GROUP BY request_id, id""",
+}
+BEST = """SELECT request_id, id, score, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, id) AS "order" FROM {0} QUALIFY "order" <= 30"""
+
 ORACLE = {
     "s1_article_table": sql(f"""SELECT {ARTICLE},
         strftime(epoch_ms(last_update * 1000), '%Y-%m-%d') AS update_day FROM art""", ["art"]),
@@ -412,6 +451,9 @@ ORACLE = {
     "q6_search_terms": sql("SELECT * FROM hits", SEARCH, "pairs"),
     "q6_search_passages": sql("SELECT * FROM hits", SEARCH, "passages"),
     "q6_search_titles": sql("SELECT * FROM hits", SEARCH, "titles"),
+    "q6_kept_postings": sql("SELECT * FROM hits", SEARCH, "pairs", **SETTLED),
+    "q2_near_matches": sql(BEST.format("near_hit"), ["art", "spot", "asked", "unit", "occurs", "holds", "unit_score", "near_hit"], **SETTLED),
+    "q5_frequency_top": sql(BEST.format("freq"), [*SEARCH[:-1], "spot", "sizes", "tf", "freq"], "pairs", **SETTLED),
     "r1_sync_index_stream": sql(f"SELECT {ARTICLE.replace('abstract', 'copies.abstract')}, {joined('topics')} FROM copies LEFT JOIN bag USING (id)",
         [*INDEX, "copies"]),
 }
