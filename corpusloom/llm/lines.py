@@ -184,7 +184,9 @@ def _near_lines(rows: DataFrame, distinct: DataFrame, near_words: int, near_char
     # numbered in the order of their first places
     ordered = known.join(said, ["h1", "h2"]).repartitionByRange("first").sortWithinPartitions("first")
     candidates = stage(ordered.select(F.monotonically_increasing_id().alias("ord"), "h1", "h2", "words"), "candidate-lines")
-    variants = stage(_variants(candidates, near_words, near_chars), "line-variants")
+    every = stage(_variants(candidates, near_words, near_chars), "line-variants")
+    several = every.groupBy("key").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).where("least < most")
+    variants = stage(every.join(several, "key", "left_semi"), "shared-variants")
     # replacements: equal without the unit at one place
     replaced = variants.where("place >= 0").groupBy("key", "place").agg(F.min("ord").alias("of"), F.max("ord").alias("last")).where("of < last").drop("last")
     by_place = variants.join(replaced, ["key", "place"]).where("ord > of").select("ord", "of")
