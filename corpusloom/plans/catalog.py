@@ -593,7 +593,7 @@ def m1_vocabulary(spark, sf):
 
 def _model(spark, sf):
     bags = stage(modelling.word_lists(increment.corpus_text(given.articles(spark, sf))), "bags")
-    return modelling.fit_topics(bags, version="1", iterations=2)
+    return modelling.fit_topics(bags, version="1")
 
 
 @query

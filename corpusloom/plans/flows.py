@@ -6,6 +6,7 @@ at its end, so a run that fails is repeated from the same mark. Every sink is sa
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,7 +45,7 @@ class Places:
 
 def ingest(items: DataFrame, places: Places, create: bool = False) -> DataFrame:
     """Append new valid items to the article table; returns the rejected ones with reasons."""
-    typed = typed_items(items)
+    typed = stage(typed_items(items), "items")  # read four times below; pages are parsed once
     writers.append_new(valid_items(typed), places.articles, create)
     return rejected_items(typed)
 
@@ -80,7 +81,7 @@ def upload_documents(spark: SparkSession, places: Places, batches: str, how: str
     bags = topic_bags(readers.read_doc_topics(spark, _of_version(places.doc_topics, version)))
     articles = readers.read_articles(spark, places.articles)
     enriched = enrich(articles, bags, how).withColumn("model_version", F.lit(str(version)))
-    writers.write_index_batches(_load(enriched, places, UPLOAD_WRITER, marks.run_stamp()), batches, with_topics=True)
+    writers.write_index_batches(_load(enriched, places, UPLOAD_WRITER, time.time_ns()), batches, with_topics=True)
 
 
 def _load(docs: DataFrame, places: Places, writer: str, number: int) -> DataFrame:
@@ -94,7 +95,7 @@ def _load(docs: DataFrame, places: Places, writer: str, number: int) -> DataFram
 
 def remove_documents(ids: DataFrame, places: Places) -> None:
     """Take documents out of the index by ``id``; their postings are no longer settled on."""
-    index_store.remove_documents(ids, places.index, REMOVE_WRITER, marks.run_stamp())
+    index_store.remove_documents(ids, places.index, REMOVE_WRITER, time.time_ns())
 
 
 def update_index(spark: SparkSession, places: Places, batches: str, now: int | None = None) -> None:

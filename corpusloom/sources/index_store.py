@@ -35,20 +35,30 @@ def _folder(path: str, writer: str, number: int) -> str:
     return f"{path.rstrip('/')}/writer={writer}/number={number}"
 
 
+def _commit_stamp(spark: SparkSession, folder: str) -> int:
+    """The time of a load's first commit: a repeated load keeps it, so it doesn't beat loads that came between."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    first = None
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(where, "_SUCCESS")):
+        first = spark.read.schema("committed_at long").parquet(folder).agg(F.min("committed_at")).first()[0]
+    return first or time.time_ns()
+
+
 def load_index(docs: DataFrame, path: str, writer: str, number: int) -> None:
     """Add or replace documents as load ``number`` of ``writer``; topics carry the version of their model."""
     folder, rows = _folder(path, writer, number), docs
     for field in ROW.fields[-2:]:
         if field.name not in docs.columns:
             rows = rows.withColumn(field.name, F.lit(None).cast(field.dataType))
-    fresh = latest(rows.select(*ROW.names)).withColumn("committed_at", F.lit(time.time_ns()))
+    fresh = latest(rows.select(*ROW.names)).withColumn("committed_at", F.lit(_commit_stamp(docs.sparkSession, folder)))
     fresh.write.mode("overwrite").parquet(folder)
 
 
 def remove_documents(ids: DataFrame, path: str, writer: str, number: int) -> None:
     """Remove documents by ``id`` as a load; a later load may add them again, without the topics they had."""
-    gone = ids.select("id").distinct().select(F.col("id").cast("string"), F.lit(True).alias("removed"), F.lit(time.time_ns()).alias("committed_at"))
-    gone.write.mode("overwrite").parquet(_folder(path, writer, number))
+    folder = _folder(path, writer, number)
+    stamp = F.lit(_commit_stamp(ids.sparkSession, folder)).alias("committed_at")
+    ids.select("id").distinct().select(F.col("id").cast("string"), F.lit(True).alias("removed"), stamp).write.mode("overwrite").parquet(folder)
 
 
 def one_load(spark: SparkSession, path: str, writer: str, number: int) -> DataFrame:

@@ -112,6 +112,39 @@ def test_the_last_commit_wins_and_a_repeated_load_replaces_itself(spark):
     assert index_of(spark, compact) == index_of(spark, index) and index_store.loads(spark, compact).count() == 2
 
 
+def test_a_repeated_load_does_not_beat_loads_that_came_between(spark):
+    index = staged_path(spark, "index")
+    index_store.load_index(articles(spark, article("1", abstract="first"), article("2")), index, "update", 1)
+    index_store.load_index(articles(spark, article("1", abstract="second")), index, "update", 2)
+    index_store.remove_documents(spark.createDataFrame([("2",)], "id string"), index, "remove", 1)
+    index_store.load_index(articles(spark, article("1", abstract="first"), article("2")), index, "update", 1)
+    assert index_of(spark, index) == {"1": ("second", None)}
+
+
+def test_removed_documents_come_back_without_topics(spark):
+    index = staged_path(spark, "index")
+    index_store.load_index(articles(spark, article("1"), article("2")).withColumn("topics", F.array(F.lit("001"))), index, "upload", 1)
+    index_store.remove_documents(spark.createDataFrame([("1",)], "id string"), index, "remove", 1)
+    assert index_of(spark, index) == {"2": ("a", ["001"])}
+    index_store.load_index(articles(spark, article("1", abstract="back"), article("2", abstract="new")), index, "update", 1)
+    assert index_of(spark, index) == {"1": ("back", None), "2": ("new", ["001"])}
+
+
+def test_items_are_read_once(spark):
+    """Pages are parsed by Python; an ingest evaluates them once, though it looks at them four times."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def watched(value):
+        seen.add(1)
+        return value
+
+    places = flows.Places(*[staged_path(spark, n) for n in ("articles", "corpus", "terms", "shares", "index", "marks")])
+    items = articles(spark, *[article(str(i % 15)) for i in range(20)]).withColumn("abstract", watched("abstract"))
+    assert flows.ingest(items, places, create=True).count() == 0
+    assert seen.value == 20 and readers.read_articles(spark, places.articles).count() == 15
+
+
 def test_an_old_stamp_of_the_corpus_never_returns(spark):
     path = staged_path(spark, "corpus")
     writers.append_corpus(articles(spark, article("1", abstract="old"), article("2")), path, 1)
