@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from corpusloom.functions import markup, numbers, text
 from corpusloom.functions.stemming import stem
 from corpusloom.operators import (
-    documents, expand, extract, frequency, increment, lookup, modelling, search, store, suggest, topics,
+    carryover, documents, expand, extract, frequency, increment, lookup, modelling, search, store, suggest, topics,
 )
 from corpusloom.plans import bindings as given
 from corpusloom.schema import INDEX_DOCUMENT
@@ -639,6 +639,26 @@ def m6_counted_topic_terms(spark, sf):
     return given.topic_terms(spark, sf)
 
 
+def _stored_topic_terms(spark, sf):
+    """The counted topic terms of the documents in English, as a former fit."""
+    english = given.texts(spark, sf, "documents").where("lang = 'en'")
+    return stage(topics.group_topic_terms(english.select(text.topic_id(F.regexp_extract("source", r"(\d+)", 1)).alias("topic"), "text"), "topic"), "stored-terms")
+
+
+@query
+def m5_topic_overlaps(spark, sf):
+    """The weight that topics of the stored documents share with those of all documents."""
+    found = carryover.topic_overlaps(_stored_topic_terms(spark, sf), given.topic_terms(spark, sf))
+    return found.withColumn("overlap", F.round("overlap", 6))
+
+
+@query
+def m5_carried_topics(spark, sf):
+    """What the topics of the stored documents live on as among those of all documents."""
+    found = carryover.carried_topics(_stored_topic_terms(spark, sf), given.topic_terms(spark, sf))
+    return found.withColumn("overlap", F.round("overlap", 6))
+
+
 # --- search and suggestion ---------------------------------------------------------------
 
 

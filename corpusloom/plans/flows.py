@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators.carryover import LINKS, carried_topics, extend_links, with_carried_topics
 from corpusloom.operators.documents import enrich
 from corpusloom.operators.expand import expand, request_clauses
 from corpusloom.operators.increment import increment
@@ -22,7 +23,7 @@ from corpusloom.operators.search import search
 from corpusloom.operators.store import rejected_items, typed_items, valid_items
 from corpusloom.operators.suggest import suggest
 from corpusloom.operators.topics import topic_bags
-from corpusloom.session import stage, staging
+from corpusloom.session import folder_exists, stage, staging
 from corpusloom.sources import index_store, marks, postings_store, readers, writers
 
 TOPIC_MARK = "topics"
@@ -32,7 +33,8 @@ UPLOAD_WRITER, UPDATE_WRITER, REMOVE_WRITER = "upload", "update", "remove"
 
 @dataclass(frozen=True)
 class Places:
-    """Where the tables of a corpus live. With ``postings`` the words of each index load are kept for all searches."""
+    """Where the tables of a corpus live. With ``postings`` the words of each index load are kept for all searches;
+    with ``topic_links`` topics are carried over between fits, so documents stay searchable by topic after a refit."""
 
     articles: str
     corpus: str
@@ -41,6 +43,7 @@ class Places:
     index: str
     marks: str
     postings: str | None = None
+    topic_links: str | None = None
 
 
 def ingest(items: DataFrame, places: Places, create: bool = False) -> DataFrame:
@@ -71,10 +74,27 @@ def model_topics(spark: SparkSession, places: Places, now: int | None = None, **
         model = fit_topics(bags, version=str(now), **fit)
         writers.write_topic_terms(model_topic_terms(model), _of_version(places.topic_terms, now))
         writers.write_doc_topics(model_doc_topics(model), _of_version(places.doc_topics, now))
+        if places.topic_links:
+            _link_topics(spark, places, mark, now)
     marks.set_mark(spark, places.marks, TOPIC_MARK, now)
     return model
 
 
+def _links(spark: SparkSession, places: Places, version: int) -> DataFrame:
+    """The links to the topics of a version; none for a version fitted before links were kept."""
+    path = _of_version(places.topic_links, version)
+    return spark.read.schema(LINKS).parquet(path) if folder_exists(spark, path) else spark.createDataFrame([], LINKS)
+
+
+def _link_topics(spark: SparkSession, places: Places, former: int, now: int) -> None:
+    """Write the links of all former versions to the topics just written; the first fit has none."""
+    links = _links(spark, places, former)
+    if former:
+        read = lambda version: readers.read_topic_terms(spark, _of_version(places.topic_terms, version))
+        links = extend_links(links, carried_topics(read(former), read(now)), str(former))
+    links.write.mode("overwrite").parquet(_of_version(places.topic_links, now))
+
+
 def upload_documents(spark: SparkSession, places: Places, batches: str, how: str = "inner") -> None:
     """Articles with their strong topics as a load of the index table, and JSON batches of that load."""
     version = marks.get_mark(spark, places.marks, TOPIC_MARK)
@@ -115,9 +135,12 @@ def topic_terms(spark: SparkSession, places: Places) -> DataFrame:
 
 
 def current_index(spark: SparkSession, places: Places) -> DataFrame:
-    """The index as the current topics see it: topics of another version than theirs are left out."""
-    version = str(marks.get_mark(spark, places.marks, TOPIC_MARK))
+    """The index as the current topics see it: topics of another version than theirs are carried over where links are kept, and left out else."""
+    mark = marks.get_mark(spark, places.marks, TOPIC_MARK)
+    version = str(mark)
     index = index_store.read_index(spark, places.index, keep_topics=True, with_load=True)
+    if places.topic_links:
+        return with_carried_topics(index, stage(_links(spark, places, mark), "topic-links"), version)
     return index.withColumn("topics", F.when(F.col("model_version") == version, F.col("topics")))
 
 

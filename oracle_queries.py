@@ -198,6 +198,12 @@ FORMS = ["word", *STEMS, "form"]
 MATCH = [*TERMS, *FORMS, "match"]
 SEARCH = [*INDEX, *FORMS, "match", "clause", "dw", "df", "qw", "qi", "allw", "qt", "bt", "tsc", "sc", "hits"]
 
+# counted topic terms of the stored documents
+STORED = {
+    "ecnt": "SELECT topic, term, count(*) AS n FROM tok WHERE id IN (SELECT CAST(doc_id AS VARCHAR) FROM documents WHERE lang = 'en') GROUP BY ALL",
+    "ett": PARTS["tt"].replace("cnt", "ecnt"),
+}
+
 WINDOW = "(SELECT min(last_update) + (max(last_update) - min(last_update)) // 120 * 60 FROM art) AND (SELECT max(last_update) FROM art)"
 
 
@@ -431,6 +437,10 @@ ORACLE = {
         SELECT id AS docname, coalesce(fulltext || ' (edited)', abstract) AS text FROM art WHERE last_update BETWEEN {WINDOW}
         UNION ALL SELECT id, coalesce(fulltext, abstract) FROM art
         WHERE article_type = 'en' AND NOT last_update BETWEEN {WINDOW}""", ["art"]),
+    "m5_topic_overlaps": sql("""SELECT o.topic, n.topic AS carried, round(sum(least(o.share, n.share)), 6) AS overlap
+        FROM (SELECT topic, term, weight / sum(weight) OVER (PARTITION BY topic) AS share FROM ett WHERE weight > 0) o
+        JOIN (SELECT topic, term, weight / sum(weight) OVER (PARTITION BY topic) AS share FROM tt WHERE weight > 0) n USING (term) GROUP BY ALL""",
+        [*TERMS, "ecnt", "ett"], **STORED),
     "m6_counted_topic_terms": sql("SELECT topic, term, weight, rank FROM tt", TERMS),
     "g1_suggest": sql("""SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY pos, form, rank) AS pos,
         topic, top_term AS term, topic || ' : ' || top_term AS suggestion
