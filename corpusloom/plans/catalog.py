@@ -18,10 +18,10 @@ from corpusloom.operators import (
     carryover, documents, expand, extract, frequency, increment, lookup, modelling, search, store, suggest, topics,
 )
 from corpusloom.plans import bindings as given
-from corpusloom.schema import INDEX_DOCUMENT
+from corpusloom.schema import ARTICLE, INDEX_DOCUMENT
 from corpusloom.session import stage, staged_path
 from corpusloom.sources import index_store, marks, postings_store, readers, ris, writers
-from corpusloom.streaming import sync
+from corpusloom.streaming import first_seen, sync
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -791,3 +791,16 @@ def r1_sync_index_stream(spark, sf):
     stream = sync.sync_index_stream(sync.article_stream(spark, table), index, staged_path(spark, "sync"))
     stream.awaitTermination()
     return index_store.read_index(spark, index, keep_topics=True).drop("model_version")
+
+
+@query
+def r1_first_seen_stream(spark, sf):
+    """Raw items as a stream into an index of first items: the articles with later copies, and after a restart copies of older stamps."""
+    raw, index, checkpoint = (staged_path(spark, n) for n in ("raw-items", "index", "first-seen"))
+    rows = given.articles(spark, sf)
+    copies = given.later_copies(rows)
+    older = copies.withColumn("last_update", F.col("last_update") - 7200)
+    for arrived in (rows.unionByName(copies), older):  # the older stamps come second, after a restart
+        arrived.write.mode("append").parquet(raw)
+        first_seen.load_first_seen(spark.readStream.schema(ARTICLE).parquet(raw), index, checkpoint).awaitTermination()
+    return index_store.read_index(spark, index).drop("topics", "model_version")

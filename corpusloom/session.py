@@ -83,6 +83,23 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams started within the block keep their state in RocksDB, which holds more keys than fit in memory, unless the session names another store.
+
+    A stream takes over the setting when it starts; the session's own stays as it was.
+    """
+    former = spark.conf.get(_STATE_STORE, None)
+    spark.conf.set(_STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(_STATE_STORE, former) if former else spark.conf.unset(_STATE_STORE)
+
+
 def folder_exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

@@ -32,9 +32,13 @@ def sync_index_stream(articles: DataFrame, index_path: str, checkpoint: str) ->
     while a stream with another checkpoint, or any other writer, never does. Loads carry no
     topics; read the table with ``keep_topics`` to keep those loaded before.
     """
+    return start_loads(articles, index_path, checkpoint)
+
+
+def start_loads(rows: DataFrame, index_path: str, checkpoint: str) -> StreamingQuery:
     writer = f"stream-{hashlib.md5(checkpoint.rstrip('/').encode()).hexdigest()}"
     return (
-        articles.writeStream.trigger(availableNow=True)
+        rows.writeStream.trigger(availableNow=True)
         .option("checkpointLocation", checkpoint)
         .foreachBatch(lambda batch, number: load_index(batch, index_path, writer, number))
         .start()

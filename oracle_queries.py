@@ -464,6 +464,7 @@ ORACLE = {
     "q6_kept_postings": sql("SELECT * FROM hits", SEARCH, "pairs", **SETTLED),
     "q2_near_matches": sql(BEST.format("near_hit"), ["art", "spot", "asked", "unit", "occurs", "holds", "unit_score", "near_hit"], **SETTLED),
     "q5_frequency_top": sql(BEST.format("freq"), [*SEARCH[:-1], "spot", "sizes", "tf", "freq"], "pairs", **SETTLED),
+    "r1_first_seen_stream": sql(f"SELECT {ARTICLE} FROM art", ["art"]),
     "r1_sync_index_stream": sql(f"SELECT {ARTICLE.replace('abstract', 'copies.abstract')}, {joined('topics')} FROM copies LEFT JOIN bag USING (id)",
         [*INDEX, "copies"]),
 }
