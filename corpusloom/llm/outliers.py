@@ -266,7 +266,12 @@ def _concentrated(vectors: DataFrame, support: float) -> DataFrame:
 
 
 def _cells(vectors: DataFrame, min_group: int) -> DataFrame:
-    """Adds ``cell``: the group whose estimate judges a document; null where there is none."""
+    """Adds ``cell``, the group whose estimate judges a document, and ``teaches``, the groups whose estimates it enters.
+
+    A group of its language and source judges itself; smaller ones pool within the language, then over languages. What
+    is still too small is judged by an estimate over all documents of the language, then of the table. ``cell`` is null
+    where the whole table is under ``min_group``.
+    """
     def coded(c: str) -> Column:
         return F.when(F.col(c).isNull(), "-").otherwise(F.concat(F.lit("="), F.replace(F.col(c), F.lit("|"), F.lit("||"))))
 
@@ -276,12 +281,21 @@ def _cells(vectors: DataFrame, min_group: int) -> DataFrame:
     small = sizes.where(F.col("n") < min_group)
     pooled = small.groupBy("of_lang").agg(F.sum("n").alias("n_lang"))
     rest = pooled.where(F.col("n_lang") < min_group).agg(F.sum("n_lang")).first()[0] or 0
-    cell = (
+    whole = sizes.groupBy("of_lang").agg(F.sum("n").alias("n_whole"))
+    every = sizes.agg(F.sum("n")).first()[0] or 0
+    pool = (
         F.when(F.col("n") >= min_group, F.col("own"))
         .when(F.col("n_lang") >= min_group, F.concat("of_lang", F.lit(" | *")))
         .when(F.lit(rest >= min_group), F.lit("*"))
     )
-    mapped = sizes.join(pooled, "of_lang", "left").select("own", cell.alias("cell"))
+    wide = F.when(F.col("n_whole") >= min_group, F.concat("of_lang", F.lit(" | +"))).when(F.lit(every >= min_group), F.lit("+"))
+    pools = sizes.join(pooled, "of_lang", "left").join(whole, "of_lang").select("own", "of_lang", pool.alias("pool"), wide.alias("wide"))
+    pools = stage(pools, "pools")
+    left_over = pools.where("pool is null")
+    of_table = not left_over.where("wide = '+'").isEmpty()
+    of_langs = left_over.where("wide <> '+'").select("of_lang", F.col("wide").alias("asked")).distinct()
+    teaches = F.array_compact(F.array("pool", "asked", F.lit("+" if of_table else None)))
+    mapped = pools.join(of_langs, "of_lang", "left").select("own", F.coalesce("pool", "wide").alias("cell"), teaches.alias("teaches"))
     return vectors.withColumn("own", own).join(mapped, "own").drop("own")
 
 
@@ -297,7 +311,7 @@ def judge(docs: DataFrame, support: float = SUPPORT, min_group: int = MIN_GROUP,
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     counted = stage(text_counts(docs).select("*", failed.alias("base_failed")), "text-counts")
     usable = counted.where(~F.col("base_failed")).select("doc_id", "lang", "source", _vector().alias("x"))
-    vectors = stage(_cells(usable, min_group).where(F.col("cell").isNotNull()).select("cell", "x"), "vectors")
+    vectors = stage(_cells(usable, min_group).where(F.col("cell").isNotNull()).select(F.explode("teaches").alias("cell"), "x"), "vectors")
 
     found = stage(_concentrated(vectors, support), "concentrated")
     placed = vectors.join(found, "cell").select("cell", "start", "x", _distance(p).alias("d"))

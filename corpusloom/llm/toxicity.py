@@ -12,7 +12,8 @@
    scores every document.
 
 Only models come to the driver: at most ``MAX_ENTRIES`` entries, ``2 ** voters`` pattern counts
-and the entry lists of ``MAX_LABELLED`` sampled documents.
+and the entry lists of ``MAX_LABELLED`` sampled documents, one row each however often a doc_id is
+repeated.
 """
 
 from __future__ import annotations
@@ -232,12 +233,18 @@ def _sampled_labels(labels: DataFrame, most: int) -> DataFrame:
     return stage(one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "labels")
 
 
+def _one_text_each(known: DataFrame) -> DataFrame:
+    """One row (doc_id, toxic, text) of each labelled doc_id, by a hash of the text: rows that repeat one don't outweigh the others, nor fill the driver."""
+    first = known.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first"))
+    return stage(first.select("doc_id", "toxic", "first.text"), "labelled-texts")
+
+
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_entries: int = MAX_ENTRIES) -> tuple[Model, DataFrame]:
     """The model, and the entry hits of all docs (doc_id, hits, votes), staged."""
     sample = _sampled_labels(labels, max_labelled)
     n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic_docs, clean_docs = n.get(1, 0), n.get(0, 0)
-    known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most max_labelled pairs of numbers
+    known = _one_text_each(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))  # at most max_labelled pairs of numbers
     rate = (toxic_docs + 1) / (toxic_docs + clean_docs + 2)
 
     def evidence(count: Column, share: float) -> Column:
@@ -252,7 +259,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     hits = stage(entry_hits(docs, entries), "entry-hits")
 
     patterns = hits.groupBy("votes").count().toPandas()
-    of_sample = hits.join(F.broadcast(sample), "doc_id").select("votes", "toxic", "hits").toPandas()
+    of_sample = entry_hits(known, entries).join(F.broadcast(sample), "doc_id").select("votes", "toxic", "hits").toPandas()
     m = len(KINDS) * FOLDS
     place = {v: i for i, v in enumerate(patterns["votes"])}
     labelled = np.zeros((len(patterns), 2))
@@ -290,7 +297,7 @@ def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of docs (doc_id, text).
 
     labels: (doc_id, toxic); rows that are null, held out or beyond the sample teach nothing,
-    and of several labels of a document the highest counts. Null and empty texts hold no
+    and of several labels of a document the highest counts, of several texts one. Null and empty texts hold no
     entry and get the score of such a text. Without any label of 1 every score is low; an
     empty table gives no rows. Repeated rows are scored each. Other columns are ignored.
     """

@@ -41,6 +41,18 @@ def labels(spark):
     return spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (3, None), (4, 1), (4, 0), (5, 9)], "doc_id long, toxic int").withColumn("text", F.lit("x"))
 
 
+def test_a_labelled_document_teaches_once_however_often_it_is_repeated(spark, labels, monkeypatch):
+    sampled = []
+    fit = toxicity.fit_linear
+    monkeypatch.setattr(toxicity, "fit_linear", lambda hits, *rest: sampled.append(len(hits)) or fit(hits, *rest))
+    rows = [(i, f"{'vile' if i % 2 else 'calm'} words of {i}", "en", "a", 1) for i in range(60)]
+    usable = toxicity._sampled_labels(labels, toxicity.MAX_LABELLED).count()
+    once = {(r.doc_id, r.score) for r in toxicity.judge(documents(spark, rows), labels).collect()}
+    often = toxicity.judge(documents(spark, rows + rows[1:2] * 3000 + [(7, None, "en", "a", 1)]), labels).collect()
+    assert sampled == [usable, usable] and len(often) == 3061
+    assert {i for i, s in once if s >= 0.5} == {r.doc_id for r in often if r.predicted}
+
+
 def test_toxicity(docs, nothing, labels):
     found = toxicity.judge(docs, labels).collect()
     assert len(found) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in found)
@@ -93,6 +105,22 @@ def test_outliers(docs, nothing):
     assert outliers.judge(nothing).count() == 0
 
 
+def test_outliers_of_a_rare_source_are_judged_beside_the_language(spark):
+    """50 documents of junk in a source and language too small for estimates of their own."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(400)]
+    junk = lambda: " ".join("".join(rng.choices("#*$%&|<>A0", k=rng.randint(3, 9))) for _ in range(60))
+    rows = [(i, " ".join(rng.choices(words, k=60)), "en", "big", 1) for i in range(300)]
+    rows += [(1000 + i, junk(), "en", "rare", 1) for i in range(50)] + [(1100 + i, " ".join(rng.choices(words, k=60)), "en", None, 1) for i in range(10)]
+    rows += [(2000 + i, junk(), None, "other", 1) for i in range(30)]  # judged by the table
+    found = {r.doc_id: r for r in outliers.judge(documents(spark, rows)).collect()}
+    assert len(found) == len(rows) and all(r.distance is not None for r in found.values())
+    assert not any(found[i].kept for i in [*range(1000, 1050), *range(2000, 2030)])
+    assert sum(found[i].kept for i in [*range(300), *range(1100, 1110)]) >= 305
+    # a table too small for any estimate is kept
+    assert all(r.kept and r.distance is None for r in outliers.judge(documents(spark, rows[:60])).collect())
+
+
 def test_mixing(docs, nothing):
     found = mixing.mix_sources(docs).collect()
     assert len(found) == docs.count() and all(0 <= r.taken <= 2 * r.size for r in found)
