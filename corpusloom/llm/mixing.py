@@ -2,7 +2,8 @@
 
 1. Every document is sized in words and dealt to a shard by a seeded hash. The number of
    shards follows the number of documents, so a (source, shard) cell stays small however
-   large its source is.
+   large its source is. Rows of equal id, size and source are numbered, and the copies go to one shard
+   after the other, so rows repeated without end fill no shard either.
 2. Target weights share a budget of words among the sources by water filling.
 3. In every shard the budget is cut into equal-token blocks, and these seats go to the
    shard's sources by the highest quotients ``votes / (2 * seats + 1)``: an integer quota
@@ -12,7 +13,8 @@
    passes over the stream, then its first blocks. A document is therefore taken whole, but
    for the one at the end of a quota, and reruns agree.
 
-Only the source totals (one row per source) meet in one task.
+Only the source totals meet in one task: one row per source, by which targets are defined, so this
+is for as many sources as have names, not for a source per document.
 """
 
 from __future__ import annotations
@@ -36,6 +38,27 @@ def _seeded(seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("size").cast("string")))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Adds ``copy`` to rows (row, key, of_source, ...) of a staged table: the number, from 0, of a row among those of its key and source.
+
+    Only rows of repeated keys are moved, and these are counted per split of the table first, so
+    a third of all rows under one key is numbered split by split in as many tasks. Which copy gets which number
+    depends on the splits; the numbers given out do not.
+    """
+    group, one_split = ["key", "of_source"], ["key", "of_source", "split"]
+    repeated = stage(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*group), "repeated-rows")
+    single = rows.join(repeated, group, "left_anti").select("*", F.lit(0).cast("long").alias("copy"))
+    if repeated.isEmpty():
+        return single
+    split = rows.select("*", F.shiftright("row", 33).alias("split"))  # the high bits of a row number name its split
+    before = Window.partitionBy(*group).orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    counts = split.select(*one_split).join(repeated, group, "left_semi").groupBy(*one_split).agg(F.count(F.lit(1)).alias("n"))
+    counts = stage(counts.select(*one_split, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "copies-before")
+    place = F.row_number().over(Window.partitionBy(*one_split).orderBy("row")) - 1
+    copies = split.join(counts, one_split).select(*rows.columns, (F.col("before") + place).cast("long").alias("copy"))
+    return single.unionByName(copies)
+
+
 def source_targets(totals: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """``target`` words per source from (source, source_size).
 
@@ -90,20 +113,18 @@ def mix_sources(
     ``passes * size + part`` and at most ``most`` times the size; ``carry`` names columns that
     come along in a struct ``carried``. Null and blank texts have
     size 0 and are never taken; a null source is a source of its own; a source without words
-    has target 0. Repeated rows count as documents each. No documents give no rows. Other
-    columns are ignored.
+    has target 0. Repeated rows count as documents each; which of the rows of one id, size and source takes
+    which of their places is not said. No documents give no rows. Other columns are ignored.
     """
     sized = docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), *(F.struct(*carry).alias("carried") for _ in carry[:1]))
-    narrow = stage(sized.select("doc_id", "source", "size"), "sizes")
-    n_shards = max(1, math.ceil(narrow.count() / shard_docs))
-    in_shard = F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % n_shards
+    sized = stage(sized.select(F.monotonically_increasing_id().alias("row"), "*"), "sizes")
+    n_shards = max(1, math.ceil(sized.count() / shard_docs))
+    in_shard = (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") + F.col("copy")) % n_shards
     # a source that is never null (null sorts last), so that windows and joins are dealt by the same plain keys
     of_source = F.when(F.col("source").isNull(), F.lit(">")).otherwise(F.concat(F.lit("="), F.col("source")))
 
-    def keyed(rows: DataFrame) -> DataFrame:
-        return rows.select("*", _seeded(seed).alias("key")).select("*", in_shard.alias("shard"), of_source.alias("of_source"))
-
-    cells = keyed(narrow).groupBy("shard", "of_source").agg(F.first("source").alias("source"), F.sum("size").alias("cell_size"))
+    dealt = _numbered(sized.select("*", _seeded(seed).alias("key"), of_source.alias("of_source"))).select("*", in_shard.alias("shard"))
+    cells = dealt.groupBy("shard", "of_source").agg(F.first("source").alias("source"), F.sum("size").alias("cell_size"))
     cells = stage(cells, "cells")
     targets = source_targets(cells.groupBy("of_source").agg(F.first("source").alias("source"), F.sum("cell_size").alias("source_size")), weights, share, most)
     voting = cells.join(targets.drop("source"), "of_source").select(
@@ -120,8 +141,8 @@ def mix_sources(
         F.when(F.col("n_blocks") > 0, F.floor(F.col("quota") / F.col("n_blocks"))).otherwise(F.lit(0)).alias("passes"),
         F.when(F.col("n_blocks") > 0, F.col("quota") % F.col("n_blocks") * block_words).otherwise(F.lit(0)).alias("edge"),
     )
-    stream = Window.partitionBy("shard", "of_source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = keyed(sized if carry else narrow).select("*", F.sum("size").over(stream).alias("end"))
+    stream = Window.partitionBy("shard", "of_source").orderBy("key", "doc_id", "size", "copy").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = dealt.select("*", F.sum("size").over(stream).alias("end"))
     part = F.least("end", "edge") - F.least(F.col("end") - F.col("size"), F.col("edge"))
     taken = placed.join(plan, ["shard", "of_source"]).select("*", part.alias("part"))
     return taken.select(

@@ -110,7 +110,8 @@ WITH sized AS (
 ), keyed AS (
   SELECT *, md5('17:' || CAST(doc_id AS VARCHAR) || ':' || CAST(size AS VARCHAR)) AS key FROM sized
 ), dealt AS (
-  SELECT *, CAST('0x' || substr(key, 1, 8) AS BIGINT) % (SELECT CAST(greatest(1, ceil(count(*) / 2048.0)) AS BIGINT) FROM sized) AS shard FROM keyed
+  SELECT *, (CAST('0x' || substr(key, 1, 8) AS BIGINT) + copy) % (SELECT CAST(greatest(1, ceil(count(*) / 2048.0)) AS BIGINT) FROM sized) AS shard
+  FROM (SELECT *, row_number() OVER (PARTITION BY key, source) - 1 AS copy FROM keyed)
 ), totals AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), weighed AS (
@@ -135,7 +136,7 @@ WITH sized AS (
   SELECT v.*, CAST(ceil(cell_size / 16.0) AS BIGINT) AS n, least(quota, 2 * CAST(ceil(cell_size / 16.0) AS BIGINT)) AS quota
   FROM voting v JOIN won w ON v.shard = w.shard AND v.source IS NOT DISTINCT FROM w.source
 ), placed AS (
-  SELECT *, CAST(sum(size) OVER (PARTITION BY shard, source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM dealt
+  SELECT *, CAST(sum(size) OVER (PARTITION BY shard, source ORDER BY key, doc_id, size, copy ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM dealt
 )
 SELECT d.doc_id, d.size, p.source_size, p.target,
   CASE WHEN n = 0 THEN 0 ELSE quota // n * size + least(e, quota % n * 16) - least(e - size, quota % n * 16) END AS taken

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,6 +122,24 @@ def test_outliers_of_a_rare_source_are_judged_beside_the_language(spark):
     assert all(r.kept and r.distance is None for r in outliers.judge(documents(spark, rows[:60])).collect())
 
 
+def test_mixing_deals_repeated_rows_over_the_shards(spark):
+    """A third of all rows are one row, another third have no id and one size."""
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id") + 10).alias("doc_id"), F.lit("a b c d").alias("text"),
+        F.when(F.col("id") % 2 == 0, "x").alias("source"))
+    found = mixing.mix_sources(rows, shard_docs=300).collect()
+    per_shard, taken = Counter(r.shard for r in found), Counter()
+    assert len(found) == 3000 and set(per_shard) == set(range(10)) and max(per_shard.values()) < 400
+    for r in found:
+        assert 0 <= r.taken <= 2 * r.size
+        taken[r.target] += r.taken
+    assert all(abs(words - target) <= 16 * 10 for target, words in taken.items())
+    again = mixing.mix_sources(rows.repartition(5), shard_docs=300).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, found))
+    mixed = mixing.mixed_documents(rows, shard_docs=300).select("doc_id", "text").collect()
+    assert sum(len(r.text.split()) for r in mixed) == sum(taken.values())
+
+
 def test_mixing(docs, nothing):
     found = mixing.mix_sources(docs).collect()
     assert len(found) == docs.count() and all(0 <= r.taken <= 2 * r.size for r in found)
