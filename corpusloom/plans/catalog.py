@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from corpusloom.functions import markup, numbers, text
 from corpusloom.functions.stemming import stem
 from corpusloom.operators import (
-    carryover, documents, expand, extract, frequency, increment, lookup, modelling, search, store, suggest, topics,
+    carryover, documents, expand, extract, frequency, increment, lookup, modelling, search, sharded_topics, store, suggest, topics,
 )
 from corpusloom.plans import bindings as given
 from corpusloom.schema import ARTICLE, INDEX_DOCUMENT
@@ -623,6 +623,32 @@ def m4_doc_topic_sums(spark, sf):
     return shares.groupBy("docname").agg(F.count("*").alias("n_topics"), F.round(F.sum("proportion"), 6).alias("total"))
 
 
+def _sharded_model(spark, sf):
+    bags = stage(modelling.word_lists(increment.corpus_text(given.articles(spark, sf))), "bags")
+    return sharded_topics.fit_sharded_topics(bags, version="1")
+
+
+@query
+def m2_sharded_word_mass(spark, sf):
+    """What holds for any fit: a word adds to all topics together what it is said in the corpus (the priors of a word sum to one)."""
+    model = _sharded_model(spark, sf)
+    mass = F.aggregate("weights", F.lit(0.0), lambda total, w: total + w) - 1
+    return model.weights.join(model.words, "index").select("word", F.round(mass, 3).alias("n"))
+
+
+@query
+def m3_sharded_topic_terms(spark, sf):
+    return sharded_topics.sharded_topic_terms(_sharded_model(spark, sf)).withColumn("weight", F.round("weight", 6))
+
+
+@query
+def m4_sharded_doc_shares(spark, sf):
+    """Per document its 25 shares, which sum to one, and the words that the fit read."""
+    shares = sharded_topics.document_shares(_sharded_model(spark, sf))
+    total = F.aggregate("shares", F.lit(0.0), lambda total, x: total + x)
+    return shares.select("docname", F.size("shares").alias("n_topics"), F.round(total, 6).alias("total"), "n_words")
+
+
 @query
 def m5_extend_corpus(spark, sf):
     """A corpus of two runs: the stored articles, then the edited ones of the increment."""

@@ -20,6 +20,7 @@ from corpusloom.operators.modelling import (
     TopicModel, fit_topics, model_doc_topics, model_topic_terms, word_lists,
 )
 from corpusloom.operators.search import search
+from corpusloom.operators.sharded_topics import ShardedTopics, fit_sharded_topics, sharded_doc_topics, sharded_topic_terms
 from corpusloom.operators.store import rejected_items, typed_items, valid_items
 from corpusloom.operators.suggest import suggest
 from corpusloom.operators.topics import topic_bags
@@ -57,9 +58,11 @@ def _of_version(path: str, version: int) -> str:
     return f"{path.rstrip('/')}/model_version={version}"
 
 
-def model_topics(spark: SparkSession, places: Places, now: int | None = None, **fit) -> TopicModel:
+def model_topics(spark: SparkSession, places: Places, now: int | None = None, sharded: bool = False, **fit) -> TopicModel | ShardedTopics:
     """Append the increment to the corpus, fit topics on all of it, write both topic tables.
 
+    With ``sharded`` the fit keeps its words as a table, for vocabularies beyond the driver's memory.
+
     The tables are folders of the run's version, which is its stamp, and so is the mark. The
     mark is committed last: until then readers see both tables of the former version, so
     terms and shares of different fits are never paired. A failed run is repeated from the
@@ -71,9 +74,11 @@ def model_topics(spark: SparkSession, places: Places, now: int | None = None, **
     writers.append_corpus(increment(articles, mark, now), places.corpus, now)
     with staging(spark):
         bags = word_lists(readers.read_corpus(spark, places.corpus, now))
-        model = fit_topics(bags, version=str(now), **fit)
-        writers.write_topic_terms(model_topic_terms(model), _of_version(places.topic_terms, now))
-        writers.write_doc_topics(model_doc_topics(model), _of_version(places.doc_topics, now))
+        fitted = (fit_sharded_topics, sharded_topic_terms, sharded_doc_topics) if sharded else (fit_topics, model_topic_terms, model_doc_topics)
+        fit_model, terms_of, shares_of = fitted
+        model = fit_model(bags, version=str(now), **fit)
+        writers.write_topic_terms(terms_of(model), _of_version(places.topic_terms, now))
+        writers.write_doc_topics(shares_of(model), _of_version(places.doc_topics, now))
         if places.topic_links:
             _link_topics(spark, places, mark, now)
     marks.set_mark(spark, places.marks, TOPIC_MARK, now)

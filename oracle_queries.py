@@ -430,6 +430,15 @@ ORACLE = {
             FROM documents), kept AS (
             SELECT word FROM said GROUP BY word HAVING count(*) >= 2 AND count(*) <= 0.5 * (SELECT count(*) FROM documents))
         SELECT CAST(doc_id AS VARCHAR) AS docname, 25 AS n_topics, 1.0 AS total FROM said SEMI JOIN kept USING (word) GROUP BY doc_id""",
+    "m2_sharded_word_mass": r"""WITH said AS (
+            SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS word FROM documents)
+        SELECT word, CAST(count(*) AS DOUBLE) AS n FROM said GROUP BY word
+        HAVING count(DISTINCT doc_id) >= 2 AND count(DISTINCT doc_id) <= 0.5 * (SELECT count(*) FROM documents)""",
+    "m4_sharded_doc_shares": r"""WITH said AS (
+            SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS word FROM documents), kept AS (
+            SELECT word FROM said GROUP BY word
+            HAVING count(DISTINCT doc_id) >= 2 AND count(DISTINCT doc_id) <= 0.5 * (SELECT count(*) FROM documents))
+        SELECT CAST(doc_id AS VARCHAR) AS docname, 25 AS n_topics, 1.0 AS total, count(*) AS n_words FROM said SEMI JOIN kept USING (word) GROUP BY doc_id""",
     "m1_word_lists": r"""SELECT docname, len(w) AS n_words, array_to_string(w, '|') AS words FROM (
         SELECT CAST(doc_id AS VARCHAR) AS docname,
                list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents)""",
