@@ -111,3 +111,18 @@ def test_plan_cuts_before_it_moves(spark):
     assert "row_number(), 30, Partial" in plan
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert "fulltext" not in plan and "abstract" not in plan
+
+
+def test_rows_with_many_anchors_move_once(spark):
+    """A document that holds the anchors of many queries isn't repeated with all its words for each of them."""
+    words = [f"word{i:03d}" for i in range(60)]
+    docs = spark.createDataFrame([("1", " ".join(words), None, None, "en", ["001"]), ("2", "word000 other", None, None, "en", None)],
+                                 "id string, title string, abstract string, fulltext string, article_type string, topics array<string>")
+    clauses = spark.createDataFrame([(i, w, [w, words[0]], ["001"]) for i, w in enumerate(words)] + [(99, "missing", ["word001", "other"], [])],
+                                    "request_id long, request string, words array<string>, topics array<string>")
+    prepared = PreparedSearch(docs, clauses)
+    found = prepared.by_words()
+    assert prepared.per_request(found).count() == 61  # of each word document 1, of the first also 2
+    lines = found._jdf.queryExecution().analyzed().toString().split("\n")
+    exploded = [i for i, line in enumerate(lines) if "explode(anchors" in line]
+    assert exploded and all("Project [row" in lines[i - 1] and "held" not in lines[i - 1] for i in exploded)
