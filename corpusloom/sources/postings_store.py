@@ -24,6 +24,8 @@ from corpusloom.functions.text import tokens
 FIELDS = ("title", "abstract", "fulltext")
 #: Folders a load's words are dealt to, and files of one folder at most; fixed, since folders are found by word.
 BUCKETS, FILES = 64, 4
+#: Words whose places are grouped at once; a longer document is beyond it alone.
+WORDS = 1 << 18
 POSTING = "id string, word string, " + ", ".join(f"{f} array<int>" for f in FIELDS)
 LENGTHS = "id string, " + ", ".join(f"{f} int" for f in FIELDS)
 _LOAD = "writer string, number bigint"
@@ -33,13 +35,31 @@ def bucket_of(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
+def runs_of_rows(words: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """``(first row, rows)`` of runs of rows with at most so many words together, or of one row."""
+    first = total = 0
+    for i, n in enumerate(words.tolist()):
+        if i > first and total + n > most:
+            yield first, i - first
+            first = i
+            total = 0
+        total += n
+    if len(words):
+        yield first, len(words) - first
+
+
 def token_postings(docs: DataFrame) -> DataFrame:
     """``(id, word, title, abstract, fulltext)``: the places of every word in each field of a document, from 0, null where it has none.
 
-    Fields are split by Spark and grouped within a batch, so no word is shuffled.
+    Fields are split by Spark and grouped within runs of rows of a batch, so no word is shuffled.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            words = sum(batch.column(f).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for f in FIELDS)
+            yield from (batch.slice(*part) for part in runs_of_rows(words, WORDS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runs(batches):
             parts, doc, field, place = [], [], [], []
             for f, name in enumerate(FIELDS):
                 lists = batch.column(name)

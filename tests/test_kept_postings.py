@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,3 +193,13 @@ def test_flows_keep_postings(spark):
     clauses = spark.createDataFrame([(1, "", ["common"], []), (2, "", ["title3"], []), (3, "", ["title4", "1"], [])], CLAUSE)
     found = search(flows.current_index(spark, places), clauses, 30, kept=kept).collect()
     assert Counter(r["request_id"] for r in found) == {1: 11, 3: 1}
+
+
+def test_places_are_grouped_a_bounded_number_of_words_at_once(spark, monkeypatch):
+    assert list(postings_store.runs_of_rows(np.array([3, 3, 0, 9, 1, 1, 4]), 6)) == [(0, 3), (3, 1), (4, 3)]
+    assert list(postings_store.runs_of_rows(np.array([], int), 6)) == []
+    rows = [(str(i), f"w{i} common", None if i % 2 else "common a b a", "long " * i or None) for i in range(9)]
+    docs = spark.createDataFrame(rows, "id string, title string, abstract string, fulltext string").coalesce(1)
+    whole = postings_store.token_postings(docs).collect()
+    monkeypatch.setattr(postings_store, "WORDS", 5)
+    assert sorted(map(str, postings_store.token_postings(docs).collect())) == sorted(map(str, whole))
