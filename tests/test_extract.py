@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from corpusloom.functions import markup
 from corpusloom.functions.markup import Rule, extract_records, html_to_text
 from corpusloom.operators.extract import contents_rows, extract_articles, item_links, links_ending, next_page
 from corpusloom.session import staged_path
@@ -135,3 +136,14 @@ def test_children_and_lists_of_selectors(spark):
     assert selected(spark, html, "section>p, h1") == ["b", "c"]
     assert selected(spark, "<div><div><p>a</p></div></div>", "div > div > p") == ["a"]
     assert selected(spark, "<a href='x>y,z'>a</a>", "a[href='x>y,z']") == ["a"]
+
+
+def test_pages_of_a_batch_are_returned_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(markup, "PAGES", 2)
+    rows = [(i, None if i == 3 else "" if i == 4 else f"<p>a{i}<b>x</b><p>b{i}") for i in range(7)]
+    found = spark.createDataFrame(rows, "i int, html string").coalesce(1).select("i", extract_records(F.col("html"), [Rule("p", "p"), Rule("b", "b", "own")]).alias("r"))
+    for r in found.collect():
+        if r["i"] == 3:
+            assert r["r"] is None
+        else:
+            assert [x.asDict() for x in r["r"]] == [{"p": [], "b": []} if r["i"] == 4 else {"p": [f"a{r['i']}x", f"b{r['i']}"], "b": ["x"]}]
