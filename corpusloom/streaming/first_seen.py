@@ -95,4 +95,4 @@ def first_seen(items: DataFrame, key: Sequence[str] = KEY, order_by: str = "last
 def load_first_seen(items: DataFrame, index_path: str, checkpoint: str, horizon: int | None = None) -> StreamingQuery:
     """The first item of every key of a stream of raw items as loads of the index (see ``sync_index_stream``)."""
     with state_store(items.sparkSession):
-        return start_loads(first_seen(items, horizon=horizon), index_path, checkpoint)
+        return start_loads(first_seen(items, horizon=horizon), index_path, checkpoint, once=True)

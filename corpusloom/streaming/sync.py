@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom.operators.increment import DAY_COLUMN
 from corpusloom.schema import ARTICLE
+from corpusloom.session import stage, staging
 from corpusloom.sources.index_store import load_index
 
 
@@ -35,11 +36,18 @@ def sync_index_stream(articles: DataFrame, index_path: str, checkpoint: str) ->
     return start_loads(articles, index_path, checkpoint)
 
 
-def start_loads(rows: DataFrame, index_path: str, checkpoint: str) -> StreamingQuery:
+def start_loads(rows: DataFrame, index_path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """With ``once`` a micro-batch is written before it is loaded: a load reads its rows several times, and a stream with
+    state would go through its state again each time."""
     writer = f"stream-{hashlib.md5(checkpoint.rstrip('/').encode()).hexdigest()}"
+
+    def load(batch: DataFrame, number: int) -> None:
+        with staging(batch.sparkSession):
+            load_index(stage(batch, "micro-batch") if once else batch, index_path, writer, number)
+
     return (
         rows.writeStream.trigger(availableNow=True)
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda batch, number: load_index(batch, index_path, writer, number))
+        .foreachBatch(load)
         .start()
     )

@@ -84,3 +84,19 @@ def test_a_batch_keeps_all_rows_of_the_first_stamp():
     batch = pa.record_batch({"k": ["a", "a", None, "a", None, "b"], "t": [2, 1, 3, 1, None, None], "v": [1, 2, 3, 4, 5, 6]})
     found = pa.Table.from_batches(first_seen._first_of_batches(iter([batch]), ["k"], "t"))
     assert found["v"].to_pylist() == [2, 4, 5, 6]
+
+
+def test_a_load_goes_through_the_state_once(spark):
+    """A load reads its rows several times; the stateful stage of a micro-batch ran as often before."""
+    raw, done = Raw(spark), spark.sparkContext.accumulator(0)
+    raw.add(*[article(str(i), last_update=i) for i in range(5)], article("1", abstract="later", last_update=9))
+
+    def counted(batches):
+        for batch in batches:
+            done.add(batch.num_rows)
+            yield batch
+
+    items = spark.readStream.schema(ARTICLE).parquet(raw.path).mapInArrow(counted, ARTICLE)
+    first_seen.load_first_seen(items, raw.index, raw.checkpoint).awaitTermination()
+    assert done.value == 6
+    assert index_store.loads(spark, raw.index).count() == 5
