@@ -48,37 +48,40 @@ def _on(rows: DataFrame, other: DataFrame, key: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, parts)
 
 
-def _one_per_key(items: DataFrame, key: Sequence[str], order_by: str, newest: bool) -> DataFrame:
+def _one_per_key(items: DataFrame, key: Sequence[str], order_by: str, newest: bool, staged: bool) -> DataFrame:
     """The winning row of every key, by ``order_by`` and then by content.
 
     Keys are counted first, on the key and the stamp alone (numbers and hash aggregation).
     Most keys have one row: these rows pass as they are, filtered by the contested keys.
-    Of a contested key only the rows at the winning stamp are compared by content.
+    Of a contested key only the rows at the winning stamp are compared by content. With ``staged`` the contested keys
+    are written first: the wide rows then move only where those are too many to broadcast.
     """
     pick = F.max if newest else F.min
     # a missing stamp comes before all others
     stamp = pick(order_by) if newest else F.when(F.count("*") == F.count(order_by), F.min(order_by))
     contested = items.groupBy(*key).agg(F.count("*").alias("_n"), stamp.alias("_stamp")).where("_n > 1")
     contested = contested.select(*[F.col(c).alias(f"_{c}") for c in key], "_stamp")
+    if staged:
+        contested = stage(contested, "contested-keys")
     single = items.join(contested, _on(items, contested, key), "left_anti")
     at_stamp = items.join(contested, _on(items, contested, key) & items[order_by].eqNullSafe(contested["_stamp"]), "left_semi")
     best = at_stamp.groupBy(*key).agg(pick(F.struct(order_by, *_others(items, *key, order_by))).alias("best"))
     return single.unionByName(best.select(*[F.col(c) if c in key else F.col(f"best.{c}") for c in items.columns]))
 
 
-def keep_first(items: DataFrame, key: Sequence[str] = KEY, order_by: str = "last_update") -> DataFrame:
+def keep_first(items: DataFrame, key: Sequence[str] = KEY, order_by: str = "last_update", staged: bool = False) -> DataFrame:
     """The first row of every key by ``order_by``; equal stamps are settled by the row's content.
 
     Grouped and not a window: each input split already reduces a key to one row, so a key
     that owns a third of the table sends one row per split, not a third of the table, to
     one task.
     """
-    return _one_per_key(items, key, order_by, newest=False)
+    return _one_per_key(items, key, order_by, newest=False, staged=staged)
 
 
-def latest(items: DataFrame, key: str = "id", order_by: str = "last_update") -> DataFrame:
+def latest(items: DataFrame, key: str = "id", order_by: str = "last_update", staged: bool = False) -> DataFrame:
     """The newest row of every key (see ``keep_first``)."""
-    return _one_per_key(items, [key], order_by, newest=True)
+    return _one_per_key(items, [key], order_by, newest=True, staged=staged)
 
 
 def insert_if_absent(new: DataFrame, existing: DataFrame, key: Sequence[str] = KEY) -> DataFrame:

@@ -76,7 +76,8 @@ def doc_topics(spark: SparkSession, sf_dir: str, terms: DataFrame) -> DataFrame:
 
 
 def enriched_articles(spark: SparkSession, sf_dir: str, terms: DataFrame, how: str = "inner") -> DataFrame:
-    return enrich(articles(spark, sf_dir), topic_bags(doc_topics(spark, sf_dir, terms)), how)
+    """The articles with their topics. The topics are staged, since a load reads its rows more than once."""
+    return enrich(articles(spark, sf_dir), stage(topic_bags(doc_topics(spark, sf_dir, terms)), "topic-bags"), how)
 
 
 def term_requests(terms: DataFrame) -> DataFrame:

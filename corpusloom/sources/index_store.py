@@ -50,7 +50,7 @@ def load_index(docs: DataFrame, path: str, writer: str, number: int) -> None:
     for field in ROW.fields[-2:]:
         if field.name not in docs.columns:
             rows = rows.withColumn(field.name, F.lit(None).cast(field.dataType))
-    fresh = latest(rows.select(*ROW.names)).withColumn("committed_at", F.lit(_commit_stamp(docs.sparkSession, folder)))
+    fresh = latest(rows.select(*ROW.names), staged=True).withColumn("committed_at", F.lit(_commit_stamp(docs.sparkSession, folder)))
     fresh.write.mode("overwrite").parquet(folder)
 
 

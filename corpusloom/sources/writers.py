@@ -19,7 +19,7 @@ def append_new(new: DataFrame, path: str, create: bool = False) -> None:
     share a task, and a day with a third of all rows is split over several.
     """
     spark = new.sparkSession
-    rows = keep_first(new) if create else insert_if_absent(new, read_articles(spark, path))
+    rows = keep_first(new, staged=True) if create else insert_if_absent(new, read_articles(spark, path))
     with_update_day(rows).hint("rebalance", DAY_COLUMN).write.mode("errorifexists" if create else "append").partitionBy(DAY_COLUMN).parquet(path)
 
 

@@ -5,7 +5,7 @@ from corpusloom.operators import store
 from corpusloom.operators.documents import index_documents, document_json
 from corpusloom.operators.increment import corpus_text, increment
 from corpusloom.schema import ARTICLE
-from corpusloom.session import staged_path
+from corpusloom.session import stage, staged_path
 from corpusloom.sources import index_store, marks, readers, writers
 
 
@@ -143,3 +143,22 @@ def test_null_fields_are_left_out_of_json(spark):
     json = document_json(index_documents(articles(spark, article("1")))).collect()[0]["json"]
     assert json == ('{"id":"1","type":"add","fields":{"title":"t","authors":["x"],"abstract":"a",'
                     '"release_date":"2000","article_type":"k","last_update":1}}')
+
+
+def test_staged_contested_keys_move_no_wide_row(spark):
+    rows = articles(spark, *[article(str(i // 2 if i < 6 else i), abstract=f"a{i}", last_update=i // 4) for i in range(200)], article(None, abstract="c"), article(None, abstract="d"))
+    assert sorted(map(str, store.latest(rows, staged=True).collect())) == sorted(map(str, store.latest(rows).collect()))
+    assert sorted(map(str, store.keep_first(rows, staged=True).collect())) == sorted(map(str, store.keep_first(rows).collect()))
+    plan = store.keep_first(rows, staged=True)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_a_load_shuffles_keys_alone(spark, monkeypatch):
+    """The sinks stage the contested keys."""
+    from corpusloom.sources import index_store
+
+    said = []
+    monkeypatch.setattr(store, "stage", lambda df, name: said.append((name, df.columns)) or stage(df, name))
+    index_store.load_index(articles(spark, article("1"), article("1", abstract="x", last_update=2)), staged_path(spark, "index"), "upload", 0)
+    writers.append_new(articles(spark, article("1"), article("1", last_update=2)), staged_path(spark, "table"), create=True)
+    assert said == [("contested-keys", ["_id", "_stamp"]), ("contested-keys", ["_id", "_title", "_stamp"])]
