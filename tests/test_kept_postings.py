@@ -203,3 +203,16 @@ def test_places_are_grouped_a_bounded_number_of_words_at_once(spark, monkeypatch
     whole = postings_store.token_postings(docs).collect()
     monkeypatch.setattr(postings_store, "WORDS", 5)
     assert sorted(map(str, postings_store.token_postings(docs).collect())) == sorted(map(str, whole))
+
+
+def test_a_word_moves_as_one_row_of_a_run_of_documents(spark):
+    docs = spark.createDataFrame([(str(i), "common", None, f"b common w{i}") for i in range(50)] + [("none", None, None, None)], "id string, title string, abstract string, fulltext string").coalesce(1)
+    blocks = postings_store.posting_blocks(docs)
+    assert blocks.where("word is not null").groupBy("word").agg(F.sum(F.size("docs")).alias("n"), F.count("*").alias("rows")).where("word in ('b', 'common')").select("n", "rows").collect() == [(50, 1)] * 2
+    path = staged_path(spark, "kept")
+    postings_store.add_postings(docs, path, "upload", 0)
+    kept = postings_store.read_postings(spark, path)
+    assert kept.where("word is not null").count() == 52
+    found = postings_store.of_words(kept, spark.createDataFrame([("common",), ("w7",)], "word string"))
+    assert sorted(tuple(r) for r in found.where("id = '7'").select("word", "title", "fulltext", "writer").collect()) == [("common", [0], [1], "upload"), ("w7", None, [2], "upload")]
+    assert sorted(postings_store.read_lengths(spark, path).where("id in ('7', 'none')").select("id", "title", "abstract", "fulltext").collect()) == [("7", 1, 0, 3), ("none", 0, 0, 0)]
