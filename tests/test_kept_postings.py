@@ -216,3 +216,15 @@ def test_a_word_moves_as_one_row_of_a_run_of_documents(spark):
     found = postings_store.of_words(kept, spark.createDataFrame([("common",), ("w7",)], "word string"))
     assert sorted(tuple(r) for r in found.where("id = '7'").select("word", "title", "fulltext", "writer").collect()) == [("common", [0], [1], "upload"), ("w7", None, [2], "upload")]
     assert sorted(postings_store.read_lengths(spark, path).where("id in ('7', 'none')").select("id", "title", "abstract", "fulltext").collect()) == [("7", 1, 0, 3), ("none", 0, 0, 0)]
+
+
+def test_near_rows_are_judged_together():
+    """Rows of clauses of two and three words at once: words of one row, places of other fields and repeats don't help another."""
+    from corpusloom.operators import proximity
+
+    gap = proximity._FIELD_GAP
+    rows = [(2, [(0, 0), (4, 1)]), (2, [(0, 0), (5, 1)]), (3, [(0, 2), (1, 1), (2, 1), (6, 0)]), (3, [(0, 2), (1, 1), (5, 0)]), (2, [(9, 0), (gap, 1)]), (2, [(3, 1), (20, 1), (21, 0)])]
+    events = [[place * size + nth for place, nth in said] for size, said in rows]
+    got = proximity._held(np.array([size for size, _ in rows]), np.array([len(e) for e in events]), np.concatenate(events), 3)
+    assert got.tolist() == [True, False, False, True, False, True]
+    assert proximity._held(np.array([], int), np.array([], int), np.array([], int), 3).tolist() == []
