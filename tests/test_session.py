@@ -1,4 +1,5 @@
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,3 +47,22 @@ def test_html_files_as_pages(spark):
     rows = read_pages(spark, path).collect()
     assert [r["html"].strip() for r in rows] == ["<h1>a</h1>\n<p>b</p>"]
     assert rows[0]["url"].endswith(".txt")
+
+
+def test_staging_leaves_no_shuffle_files(spark):
+    """What a staged table was shuffled by goes with its write, not with the driver's next collection of garbage."""
+    jvm, setting = spark.sparkContext._jvm, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    disk = jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {f.getName() for f in jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles()) if f.getName().startswith("shuffle_")}
+
+    before, former = files(), spark.conf.get(setting, None)
+    counts = spark.range(10_000).groupBy((F.col("id") % 997).alias("g")).agg(F.count("*").alias("n"))
+    table = stage(counts, "counts")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(setting, None) == former
+    assert table.count() == counts.count() == 997
