@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.operators import search as search_module
 from corpusloom.operators.search import PreparedSearch, match_all, search
 from corpusloom.session import stage
 
@@ -126,3 +127,33 @@ def test_rows_with_many_anchors_move_once(spark):
     lines = found._jdf.queryExecution().analyzed().toString().split("\n")
     exploded = [i for i, line in enumerate(lines) if "explode(anchors" in line]
     assert exploded and all("Project [row" in lines[i - 1] and "held" not in lines[i - 1] for i in exploded)
+
+
+def test_word_matches_are_met_from_the_best_on(spark, monkeypatch):
+    """The best by words equal brute force whatever the blocks, and a query with many matches meets few of them."""
+    rng = random.Random(9)
+    docs = [(f"{i:04d}", f"the own{i} {rng.choice(['red', 'blue'])}", None, f"odd{i % 2}", "k", rng.choice([["001"], ["002"], ["001", "002"], None])) for i in range(900)]
+    clauses = [(1, "", ["the"], ["001"]), (2, "", ["the", "red"], []), (3, "", ["odd1", "blue", "the"], ["002", "002"]), (4, "", ["own17"], ["001"]), (5, "", ["own17", "own18"], [])]
+    others = [(10 + i, "", [f"own{i}"], []) for i in range(900)]  # so that no two documents hold the same
+    prepared = PreparedSearch(spark.createDataFrame(docs, DOC), stage(spark.createDataFrame(clauses + others, CLAUSE), "clauses"))
+    groups = search_module.first_ids(prepared.held(), ("held", "anchors", "topics"), 5)
+    monkeypatch.setattr(search_module, "BLOCK_BITS", 3)
+    ranking = search_module.WordRanking(groups, prepared.table, 5)
+    found = brute_top({(r, i): s for (r, i), s in brute(docs, clauses).items() if all(w in docs[int(i)][1].split() + [docs[int(i)][3]] for w in clauses[r - 1][2])}, 5)
+    names = {r["query"]: r["request_id"] for r in prepared.requests.collect()}
+    rows = {}
+    for r in ranking.top().collect():
+        rows.setdefault(names[r["query"]], []).append((-r["score"], r["id"]))
+    assert {r: [(i, -s) for s, i in sorted(v)] for r, v in rows.items() if r < 10} == found and len(rows) == 904
+    met = {names[r["query"]]: r["met"] for r in ranking.met.collect()}
+    assert met[4] == 1 and 5 <= met[1] <= 40 and 5 <= met[2] <= 60 and 5 <= met[3] <= 60
+
+
+def test_shown_fields_move_once(spark):
+    """Titles and abstracts meet the hits last: no step after that join moves or joins them again."""
+    docs = stage(spark.createDataFrame([(str(i), "the title", "an abstract", None, "k", ["001"]) for i in range(20)], DOC), "docs")
+    clauses = spark.createDataFrame([(i, "", ["title"], ["001"]) for i in range(4)] + [(9, "", ["abstract"], [])], CLAUSE)
+    hits = search(docs, clauses, 3)
+    assert hits.count() == 15 and hits.columns == ["request_id", "order", "id", "title", "abstract", "article_type", "topics", "score"]
+    joins = [line for line in hits._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join " in line]
+    assert "(id#" in joins[0] and "query#" not in joins[0]
