@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from corpusloom.schema import ARTICLE, STRINGS
 from corpusloom.operators.store import latest
-from corpusloom.session import stage
+from corpusloom.session import stage, used_once
 
 TOPICS = ("topics", "model_version")
 LOAD = ("committed_at", "writer", "number")
@@ -51,7 +51,8 @@ def load_index(docs: DataFrame, path: str, writer: str, number: int) -> None:
         if field.name not in docs.columns:
             rows = rows.withColumn(field.name, F.lit(None).cast(field.dataType))
     fresh = latest(rows.select(*ROW.names), staged=True).withColumn("committed_at", F.lit(_commit_stamp(docs.sparkSession, folder)))
-    fresh.write.mode("overwrite").parquet(folder)
+    with used_once(docs.sparkSession):
+        fresh.write.mode("overwrite").parquet(folder)
 
 
 def remove_documents(ids: DataFrame, path: str, writer: str, number: int) -> None:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.session import check_shared, spread, stage, staged_path, staging
+from corpusloom.sources.postings_store import add_postings, of_documents, read_postings
 from corpusloom.sources.readers import read_pages
 
 
@@ -49,20 +50,34 @@ def test_html_files_as_pages(spark):
     assert rows[0]["url"].endswith(".txt")
 
 
-def test_staging_leaves_no_shuffle_files(spark):
-    """What a staged table was shuffled by goes with its write, not with the driver's next collection of garbage."""
-    jvm, setting = spark.sparkContext._jvm, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    disk = jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+def shuffle_files(spark):
+    jvm = spark.sparkContext._jvm
+    files = jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f.getName() for f in jvm.scala.jdk.javaapi.CollectionConverters.asJava(files) if f.getName().startswith("shuffle_")}
 
-    def files():
-        return {f.getName() for f in jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles()) if f.getName().startswith("shuffle_")}
 
-    before, former = files(), spark.conf.get(setting, None)
-    counts = spark.range(10_000).groupBy((F.col("id") % 997).alias("g")).agg(F.count("*").alias("n"))
-    table = stage(counts, "counts")
+def left_behind(spark, before):
     for _ in range(50):
-        if not files() - before:
+        if not shuffle_files(spark) - before:
             break
         time.sleep(0.2)
-    assert not files() - before and spark.conf.get(setting, None) == former
+    return shuffle_files(spark) - before
+
+
+def test_staging_leaves_no_shuffle_files(spark):
+    """What a staged table was shuffled by goes with its write, not with the driver's next collection of garbage."""
+    setting, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", shuffle_files(spark)
+    former = spark.conf.get(setting, None)
+    counts = spark.range(10_000).groupBy((F.col("id") % 997).alias("g")).agg(F.count("*").alias("n"))
+    table = stage(counts, "counts")
+    assert not left_behind(spark, before) and spark.conf.get(setting, None) == former
     assert table.count() == counts.count() == 997
+
+
+def test_kept_postings_leave_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    docs = spark.range(500).select(F.col("id").cast("string").alias("id"), F.lit("a title").alias("title"), F.lit(None).cast("string").alias("abstract"), F.lit("b c").alias("fulltext"))
+    path = staged_path(spark, "postings")
+    add_postings(docs, path, "upload", 0)
+    assert not left_behind(spark, before)
+    assert of_documents(read_postings(spark, path).where("word is not null")).count() == 2000
